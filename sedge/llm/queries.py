@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sedge.llm import media, mixing, sharding
+from sedge.llm import media, mixing, pieces, sharding
 
 QUERIES = {
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
     "op8_sharding": sharding.op8_sharding,
