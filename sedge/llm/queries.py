@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sedge.llm import media, mixing, pieces, sharding
+from sedge.llm import media, mixing, pieces, sharding, substrings
 
 QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
     "op8_sharding": sharding.op8_sharding,
+    "op10_substrings": substrings.op10_substrings,
 }
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
     "op8_sharding": sharding.ORACLE,
+    "op10_substrings": substrings.ORACLE,
 }
