@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sedge.llm import media, mixing, pieces, sharding, substrings
+from sedge.llm import fingerprints, media, mixing, pieces, sharding, substrings
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
