@@ -16,56 +16,75 @@ from pyspark.sql import functions as F
 from sedge.llm.work import full_text, table
 
 #: Tokens a k-mer has; slots of a fingerprint, two strata each; characters of a token at most.
-K, SLOTS, TOKEN = 3, 32, 16
+K, SLOTS, TOKEN = 2, 32, 16
 #: An element is packed into a long: 39 bits of hash (the leading ones are the stratum), 24 bits of position.
 HASH_BITS, PLACE_BITS = 39, 24
+#: From this bit on, the stratum.
+STRATUM_BIT = HASH_BITS + PLACE_BITS - (2 * SLOTS - 1).bit_length()
 #: Documents between two boundaries on average, and boundaries at most.
 RUN, BOUNDARIES = 4096, 100_000
 
 _PLACE = (1 << PLACE_BITS) - 1
 
 
-def _stratum(x: Column) -> Column:
-    return F.shiftright(x, PLACE_BITS + HASH_BITS - (2 * SLOTS).bit_length() + 1)
+def _packed(hashed: Column, place: Column) -> Column:
+    return F.shiftleft(hashed.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), PLACE_BITS).bitwiseOR(place)
+
+
+def _leads(x: Column, before: Column) -> Column:
+    """Whether ``x`` is of another stratum than the element before it (null: there is none)."""
+    return F.coalesce(x.bitwiseXOR(before) >= (1 << STRATUM_BIT), F.lit(True))
 
 
 def with_order_minhash(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out``, an array of ``SLOTS`` longs; a slot without elements is null.
 
     ``text`` is a string column without nulls. A text without tokens has nulls only, one of fewer than ``K``
-    tokens has shorter k-mers. Positions count modulo 2**24 tokens.
+    tokens has shorter k-mers. Positions count modulo 2**24 tokens. What is used twice is a column of its own,
+    so that the optimizer doesn't repeat it inside a lambda.
     """
-    t, s, e, f = (f"_{out}_{x}" for x in "tsef")
-    df = df.withColumn(t, F.regexp_extract_all(F.col(text), F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)))
-    kmer = F.transform(t, lambda x, i: F.shiftleft(F.xxhash64(x, *[F.get(F.col(t), i + k) for k in range(1, K)]), PLACE_BITS).bitwiseOR((i % (_PLACE + 1)).cast("long")))
-    df = df.withColumn(s, F.sort_array(kmer)).drop(t)
+    t, s, c, d = (F.col(f"_{out}_{x}") for x in "tscd")
+    df = df.withColumn(f"_{out}_t", F.regexp_extract_all(F.col(text), F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)))
+    kmers = F.transform(t, lambda x, i: _packed(F.xxhash64(x, *[F.get(t, i + k) for k in range(1, K)]), i.bitwiseAND(F.lit(_PLACE)).cast("long")))
+    df = df.withColumn(f"_{out}_s", F.sort_array(kmers)).drop(f"_{out}_t")
+
+    # Sorted, the least of a stratum comes first in it, and a k-mer that comes again follows its equal.
+    def wanted(x: Column, i: Column) -> Column:
+        apart = x.bitwiseXOR(F.get(s, i - 1))
+        return F.coalesce((apart >= (1 << STRATUM_BIT)) | (apart <= _PLACE), F.lit(True))
 
-    def same(x: Column, at: Column) -> Column:
-        return F.shiftright(F.get(F.col(s), at), PLACE_BITS) == F.shiftright(x, PLACE_BITS)
+    df = df.withColumn(f"_{out}_c", F.filter(s, wanted)).drop(f"_{out}_s")
 
-    def occurrence(x: Column, i: Column) -> Column:
-        """How many equal k-mers precede, by doubling steps back over the sorted run."""
+    def equal(x: Column, y: Column) -> Column:
+        return F.coalesce(x.bitwiseXOR(y) <= _PLACE, F.lit(False))
+
+    def numbered(x: Column, i: Column) -> Column:
+        """A repeated k-mer with its occurrence number hashed in; doubling steps find where its run begins."""
         steps = F.array(*[F.lit(1 << k) for k in reversed(range(PLACE_BITS))])
-        return F.when((i > 0) & same(x, i - 1), F.aggregate(steps, F.lit(0), lambda n, step: F.when((i - n - step >= 0) & same(x, i - n - step), n + step).otherwise(n))).otherwise(F.lit(0))
+        back = F.aggregate(steps, F.lit(0), lambda n, step: F.when((i - n - step >= 0) & equal(x, F.get(c, i - n - step)), n + step).otherwise(n))
+        first = F.transform(F.array(back), lambda n: n + F.when(_leads(F.get(c, i - n), F.get(c, i - n - 1)), F.lit(0)).otherwise(F.lit(1)))
+        return _packed(F.xxhash64(F.shiftright(x, PLACE_BITS), F.get(first, F.lit(0))), x.bitwiseAND(F.lit(_PLACE)))
 
-    element = F.transform(s, lambda x, i: F.shiftleft(F.xxhash64(F.shiftright(x, PLACE_BITS), occurrence(x, i)).bitwiseAND(F.lit((1 << HASH_BITS) - 1)), PLACE_BITS).bitwiseOR(x.bitwiseAND(F.lit(_PLACE))))
-    df = df.withColumn(e, F.sort_array(element)).drop(s)
-    df = df.withColumn(f, F.filter(e, lambda x, i: (i == 0) | (_stratum(F.get(F.col(e), i - 1)) != _stratum(x)))).drop(e)
+    every = F.sort_array(F.transform(c, lambda x, i: F.when(_leads(x, F.get(c, i - 1)), x).otherwise(numbered(x, i))))
+    df = df.withColumn(f"_{out}_d", every).drop(f"_{out}_c")
+    least = F.filter(d, lambda x, i: _leads(x, F.get(d, i - 1)))
 
-    def slot(kept: Column, j: Column) -> Column:
-        pair = F.filter(kept, lambda x: F.shiftright(_stratum(x), 1) == j)
-        key = lambda x: F.shiftright(x, PLACE_BITS)
-        place = lambda x: x.bitwiseAND(F.lit(_PLACE))
+    def joined(a: Column, b: Column) -> Column:
+        """The hash of a slot's one or two elements in text order."""
+        x, y = F.shiftright(a, PLACE_BITS), F.shiftright(b, PLACE_BITS)
+        return F.when(b.isNull(), F.xxhash64(x)).when(a.bitwiseAND(F.lit(_PLACE)) <= b.bitwiseAND(F.lit(_PLACE)), F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
 
-        def joined(p: Column) -> Column:
-            a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-            return F.when(F.size(p) == 0, F.lit(None)).when(F.size(p) == 1, F.xxhash64(key(a))).when(place(a) <= place(b), F.xxhash64(key(a), key(b))).otherwise(F.xxhash64(key(b), key(a)))
+    def slot(kept: Column, j: Column) -> Column:
+        pair = F.filter(kept, lambda x: F.shiftright(x, STRATUM_BIT + 1) == j)
+        return F.get(F.transform(F.array(pair), lambda p: F.when(F.size(p) > 0, joined(F.get(p, F.lit(0)), F.get(p, F.lit(1))))), F.lit(0))
 
-        return F.get(F.transform(F.array(pair), joined), F.lit(0))
+    def slots(kept: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+        full = F.transform(numbers, lambda j: joined(F.get(kept, 2 * j), F.get(kept, 2 * j + 1)))
+        return F.when(F.size(kept) == 2 * SLOTS, full).otherwise(F.transform(numbers, lambda j: slot(kept, j)))
 
     # Bound as the one element of an array, the kept elements are found once a text and not once a slot.
-    slots = F.transform(F.array(f), lambda kept: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda j: slot(kept, j)))
-    return df.withColumn(out, F.get(slots, F.lit(0))).drop(f)
+    return df.withColumn(out, F.get(F.transform(F.array(least), slots), F.lit(0))).drop(f"_{out}_d")
 
 
 def as_text(slots: Column) -> Column:
