@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sedge.llm import fingerprints, media, mixing, pieces, sharding, substrings
+from sedge.llm import fingerprints, languages, media, mixing, pieces, quality, sharding, substrings
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
+    "op7_languages": languages.op7_languages,
     "op8_sharding": sharding.op8_sharding,
     "op10_substrings": substrings.op10_substrings,
 }

@@ -61,21 +61,21 @@ def mapped(df: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in _pieces(batch):
+            for part in in_pieces(batch):
                 if (out := step(part)) is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k.type) for k, x in ((k, out[k.name]) for k in kinds)], schema=kinds)
 
     return df.mapInArrow(run, schema)
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def in_pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     if batch.nbytes <= most or batch.num_rows <= 1:
         if batch.num_rows:
             yield batch
         return
     half = batch.num_rows // 2
     for part in (batch.slice(0, half), batch.slice(half)):
-        yield from _pieces(part, most)
+        yield from in_pieces(part, most)
 
 
 def _arrow(schema: str) -> pa.Schema:
