@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.llm import fingerprints, languages, media, mixing, pieces, quality, sharding, substrings
+from sedge.llm import archives, fingerprints, languages, media, mixing, pieces, quality, sharding, substrings
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
+    "op6_warc": archives.op6_warc,
     "op7_languages": languages.op7_languages,
     "op8_sharding": sharding.op8_sharding,
     "op10_substrings": substrings.op10_substrings,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_mixing": mixing.ORACLE,
+    "op6_warc": archives.ORACLE,
     "op8_sharding": sharding.ORACLE,
     "op10_substrings": substrings.ORACLE,
 }
