@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedge.llm import archives, fingerprints, languages, media, mixing, pieces, quality, sharding, substrings
+from sedge.llm import archives, fingerprints, languages, media, mixing, neardups, pieces, quality, sharding, substrings
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": archives.op6_warc,
     "op7_languages": languages.op7_languages,
     "op8_sharding": sharding.op8_sharding,
+    "op9_neardups": neardups.op9_neardups,
     "op10_substrings": substrings.op10_substrings,
 }
 

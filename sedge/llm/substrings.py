@@ -196,6 +196,40 @@ def without_repeats(docs: DataFrame, span: int = SPAN, mini: int = MINI, keep: b
     return rows if keep else rows.drop("kept")
 
 
+def cleaned(docs: DataFrame, span: int = SPAN, mini: int = MINI) -> DataFrame:
+    """``docs`` with the repeated words of each text removed, as ``without_repeats`` judges them.
+
+    A text that loses words becomes the kept ones joined by one space, and ``n_chars``, where there is such a
+    column, its code points; every other row and column stays as it is. No row is dropped.
+    """
+    names = docs.columns
+    key = docs.withColumn("_tag", F.hash(full_text())).select(*[F.col(f"`{n}`") for n in names], "_tag")
+    spans = _listed(repeated_spans(docs, span, mini)).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), "firsts", "counts")
+    joined = key.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_tag") == F.col("_t")), "left").select(*[F.col(f"`{n}`") for n in names], F.col("firsts").alias("_firsts"), F.col("counts").alias("_counts"))
+    at = names.index("text")
+
+    def make():
+        def step(batch):
+            texts, sizes = batch.column(at).to_pylist(), {}
+            for i, (firsts, counts) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
+                if firsts:
+                    words = texts[i].encode().split()
+                    stay = np.ones(len(words), bool)
+                    for a, c in zip(firsts, counts, strict=True):
+                        stay[a : a + c + span - 1] = False
+                    texts[i] = b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s).decode()
+                    sizes[i] = len(texts[i])
+            out = {n: batch.column(k) for k, n in enumerate(names)}
+            out["text"] = texts
+            if "n_chars" in out and sizes:
+                out["n_chars"] = [sizes.get(i, v) for i, v in enumerate(out["n_chars"].to_pylist())]
+            return out
+
+        return step
+
+    return mapped(joined, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
 
