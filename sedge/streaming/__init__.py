@@ -1,0 +1 @@
+"""Nothing streams: every analysis here is over a finite relation, and pair counts over an unbounded one need unbounded state."""
