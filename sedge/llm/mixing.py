@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedge.llm.work import WORD, full_text, hash60, table, written
+from sedge.llm.work import WORD, full_text, hash60, numbered, table, written
 
 #: Bits of one histogram level, and levels before the boundary cell is read row by row.
 BITS, LEVELS, HASH_BITS = 12, 2, 60
@@ -52,7 +52,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         summed = cells.groupBy("source", "_base", "need", bucket.alias("_bucket")).agg(F.sum("size").alias("_sum"))
         running = F.sum("_sum").over(W.partitionBy("source").orderBy("_bucket"))
         bounds = summed.withColumn("_after", F.col("_base") + running).withColumn("_before", F.col("_after") - F.col("_sum")).filter((F.col("_before") <= F.col("need")) & (F.col("_after") > F.col("need")))
-        bounds = bounds.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.col("_before").alias("_start"))
+        bounds = written(bounds.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.col("_before").alias("_start")), "mix-bounds")
         cells = cells.join(bounds, F.col("source").eqNullSafe(F.col("_source")) & (bucket == F.col("_b"))).select("source", "hash", "size", "need", F.col("_start").alias("_base"))
     single = cells.groupBy("source", "need", "_base", "hash").agg(F.sum("size").alias("_sum"))
     after = F.col("_base") + F.sum("_sum").over(W.partitionBy("source").orderBy("hash"))
@@ -64,17 +64,22 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.withColumn("cut", F.when(F.col("_first").isNull(), whole).otherwise(F.coalesce("_last", F.col("_first") - 1))).drop("_source", "_last", "_first")
 
 
-def document_hash() -> Column:
-    return hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")))
+def document_hash(name: str = "doc_id") -> Column:
+    return hash60(F.coalesce(F.col(name).cast("string"), F.lit("\\N")))
 
 
 def source_cuts(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """The words and hash of each document, and of each source (named ``_source``) its target, base and cut."""
+    """The words and hash of each document, and of each source (named ``_source``) its target, base and cut.
+
+    What has a row a source is written, so that its size is known: Spark broadcasts it where it is small, and
+    neither texts nor a source of many rows are shuffled to meet it.
+    """
     if most < share:
         raise ValueError("most must be at least share, else the targets can't be met")
     words = F.regexp_count(full_text(), F.lit(WORD)).cast("long")
     sizes = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), document_hash().alias("hash")), "mix-sizes")
-    return sizes, thresholds(sizes, source_targets(sizes, weights, share, most)).withColumnRenamed("source", "_source")
+    targets = written(source_targets(sizes, weights, share, most), "mix-targets")
+    return sizes, written(thresholds(sizes, targets).withColumnRenamed("source", "_source"), "mix-cuts")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -96,10 +101,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     The cut of a source is all a scan needs to decide, so the texts are read once more and not shuffled.
     """
     _, cuts = source_cuts(docs)
-    cuts = cuts.select("_source", F.col("base").alias("_base"), F.col("cut").alias("_cut"))
-    copies = F.col("_base") + (document_hash() <= F.col("_cut")).cast("long")
-    taken = docs.join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_copies", copies.cast("int"))
-    return taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows, source = numbered(docs), F.col(f"c{docs.columns.index('source')}")
+    copies = F.col("base") + (document_hash(f"c{docs.columns.index('doc_id')}") <= F.col("cut")).cast("long")
+    taken = rows.join(cuts.select("_source", "base", "cut"), source.cast("string").eqNullSafe(F.col("_source"))).withColumn("copies", copies.cast("int"))
+    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

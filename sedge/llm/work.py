@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: what a caller's columns are called then clashes with nothing."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def full_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -53,6 +60,14 @@ def hash60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def kept_in_process(name: str, make):
+    """What ``make()`` gave the first time this process asked for ``name``: a Python worker runs many tasks."""
+    kept = sys.modules.setdefault("sedge_kept", ModuleType("sedge_kept")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def mapped(df: DataFrame, make, schema: str) -> DataFrame:
     """``mapInArrow`` for a factory: ``make()`` runs once a task and gives a function from a RecordBatch to
     a dict of columns (or None). Large batches are cut by bytes, so long texts can't pile up in a worker."""
