@@ -10,21 +10,37 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.work import mapped, table
+from sedge.llm.work import kept_in_process, mapped, table
 
 SPACE = "▁"
+#: Symbols up to which the agenda is a list, and entries remembered at a time.
+SHORT, MOST = 48, 250_000
 #: Ways to cut a text where no merge can cross, finest first; a model takes the first under which every piece is one part.
 CUTS = (rf"{SPACE}*(?:[^\W\d_¹²³]+|(?:[^\w{SPACE}]+|[\d_¹²³]+)+)|{SPACE}+", rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", r"(?s:.+)")
 
 
+class _Parts(dict):
+    """Ids by part; a part met first is recalled, and kept if it is not long."""
+
+    def __init__(self, recall):
+        super().__init__()
+        self.recall = recall
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.recall(part)
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
+
+
 class MergeCodec:
     """Encoder and decoder of one model, from the bytes of its file.
 
     Only models with the identity normalizer, a dummy prefix and kept white space are taken. ``known`` parts
-    are remembered, ``most`` of them at a time.
+    are remembered: ``MOST`` at a time, and as many from before (``past``), which come back as they are met.
     """
 
-    def __init__(self, model: bytes, most: int = 400_000):
+    def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.library = lib = SentencePieceProcessor(model_proto=model)
@@ -33,29 +49,54 @@ class MergeCodec:
         special = {i for i in range(n) if lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i)}
         if lib.normalize(" ﬁ  x ") != f"{SPACE}{SPACE}ﬁ{SPACE}{SPACE}x{SPACE}" or any(lib.is_unused(i) for i in range(n)):
             raise ValueError("only identity-normalized models without unused pieces are supported")
-        self.rank = {names[i]: (-lib.get_score(i), i) for i in range(n) if i not in special}
+        self.id_of = {names[i]: i for i in range(n) if i not in special}
+        self.score = {p: -lib.get_score(i) for p, i in self.id_of.items() if len(p) > 1}
         self.byte_id = {int(names[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
         self.text = [bytes([int(x[3:5], 16)]) if lib.is_byte(i) else b"" if lib.is_control(i) else b" \xe2\x81\x87 " if lib.is_unknown(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         self.decimal = [str(i) for i in range(n)]
-        self.cut = next(c for c in map(re.compile, CUTS) if all(c.fullmatch(p) and c.match(p).end() == len(p) and len(c.findall(p)) == 1 for p in self.rank))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.most = most
+        self.cut = next(c for c in map(re.compile, CUTS) if all(c.fullmatch(p) and c.match(p).end() == len(p) and len(c.findall(p)) == 1 for p in self.id_of))
+        self.known, self.past = _Parts(self.recall), {}
         #: A character of no piece: what follows it is encoded as if it stood alone.
-        self.apart = next(x for x in "\n\t\x1f\x00" if not any(x in p for p in self.rank))
+        self.apart = next(x for x in "\n\t\x1f\x00" if not any(x in p for p in self.id_of))
         self.lead = len(lib.encode(self.apart))
         self.fresh: dict[str, tuple[int, ...]] = {}
 
     def merge(self, part: str) -> tuple[int, ...]:
         """Ids of one part: the agenda holds adjacent pairs that form a piece, best score first, leftmost on a
         tie; a popped pair counts only if both symbols are as they were when it was entered."""
-        rank = self.rank
+        symbols = self.short(part) if len(part) <= SHORT else self.long(part)
+        out: list[int] = []
+        for s in symbols:
+            if (r := self.id_of.get(s)) is not None:
+                out.append(r)
+            elif self.byte_id:
+                out.extend(self.byte_id[b] for b in s.encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return tuple(out)
+
+    def short(self, part: str) -> list[str]:
+        """The agenda as a list of the scores of all adjacent pairs, best taken first, for a few symbols."""
+        score, none = self.score.get, float("inf")
+        symbols = list(part)
+        agenda = [score(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := min(agenda)) != none:
+            i = agenda.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = score(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def long(self, part: str) -> list[str]:
+        """The agenda as a heap, for any number of symbols."""
+        score = self.score.get
         symbols, n = list(part), len(part)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            if (r := rank.get(symbols[i] + symbols[i + 1])) is not None:
-                agenda.append((r[0], i, symbols[i], symbols[i + 1]))
+        agenda = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := score(a + b)) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, i, left, right = heapq.heappop(agenda)
@@ -66,38 +107,23 @@ class MergeCodec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(symbols[i] + symbols[k])) is not None:
-                    heapq.heappush(agenda, (r[0], i, symbols[i], symbols[k]))
-            if (h := before[i]) >= 0 and (r := rank.get(symbols[h] + symbols[i])) is not None:
-                heapq.heappush(agenda, (r[0], h, symbols[h], symbols[i]))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                if (r := rank.get(s)) is not None:
-                    out.append(r[1])
-                elif self.byte_id:
-                    out.extend(self.byte_id[b] for b in s.encode())
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
-        return tuple(out)
+                if (r := score(symbols[i] + symbols[k])) is not None:
+                    heapq.heappush(agenda, (r, i, symbols[i], symbols[k]))
+            if (h := before[i]) >= 0 and (r := score(symbols[h] + symbols[i])) is not None:
+                heapq.heappush(agenda, (r, h, symbols[h], symbols[i]))
+        return [s for s in symbols if s]
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
-        known = self.known
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, parts)))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            new = {p: self.merge(p) for p in {x for x in parts if x not in known}}
-            self.fresh.update(new)
-            short = {p: ids for p, ids in new.items() if len(p) <= 64}
-            known.update(short)
-            if len(short) == len(new):
-                return list(chain.from_iterable(map(known.__getitem__, parts)))
-            return list(chain.from_iterable(new[p] if p in new else known[p] for p in parts))
+        if len(self.known) > MOST:
+            self.past, self.known = self.known, _Parts(self.recall)
+        return list(chain.from_iterable(map(self.known.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE)))))
+
+    def recall(self, part: str) -> tuple[int, ...]:
+        if (ids := dict.get(self.past, part)) is None:
+            self.fresh[part] = ids = self.merge(part)
+        return ids
 
     def check(self) -> None:
         """Hold the parts merged since the last call against the library, as one batch; no merge crosses a part,
@@ -131,8 +157,10 @@ def encode_texts(docs: DataFrame, model_path: str, check: bool = True, keep_ids:
     with open(model_path, "rb") as f:
         model = f.read()
 
+    name = f"merge codec {hashlib.sha256(model).hexdigest()}"
+
     def make():
-        codec = MergeCodec(model)
+        codec = kept_in_process(name, lambda: MergeCodec(model))
 
         def step(batch):
             texts = [x or "" for x in batch.column(1).to_pylist()]
