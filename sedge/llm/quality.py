@@ -46,12 +46,12 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for x in texts:
         own = x.split()
         words += own
-        shapes += _RUN.sub(rb"\1", x.translate(_SHAPE)).split()
+        shapes += x.translate(_SHAPE).split()
         sizes.append(len(own))
     part = BUCKETS * 3 // 4
     known: dict[bytes, int] = {}
     for s in set(shapes):
-        known[s] = part + xxh32_intdigest(s) % (BUCKETS - part)
+        known[s] = part + xxh32_intdigest(_RUN.sub(rb"\1", s)) % (BUCKETS - part)
     a = np.fromiter(map(xxh32_intdigest, words), np.uint32, len(words)) % np.uint32(part)
     b = np.fromiter(map(known.__getitem__, shapes), np.int32, len(shapes))
     return a.astype(np.int32), b, np.array(sizes)
@@ -137,7 +137,8 @@ class Network:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
+        """Probabilities of label 1, rounded so that they don't depend on which rows are computed together."""
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(x.astype(np.float64)) / self.temperature, -30, 30))), 9)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Network:
