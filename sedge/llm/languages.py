@@ -98,7 +98,7 @@ class Model:
                     best = int(won.argmax())
                     inner = won[best] / (len(own) - 1)
                 names.append(own[best])
-                scores.append(float(np.clip(first[i, k] * inner, 0, 1)))
+                scores.append(round(float(np.clip(first[i, k] * inner, 0, 1)), 5))
         return names, scores
 
     def _share(self, margins: np.ndarray) -> np.ndarray:
