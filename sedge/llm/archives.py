@@ -46,9 +46,9 @@ class ZipPackage:
         tail_at = max(0, size - (1 << 16) - 22)
         tail = self._read(tail_at, size - tail_at)
         at = tail.rfind(_END)
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] > len(tail):
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(_END, 0, at)
-        if at < 0 or at + 22 > len(tail):
+        if at < 0:
             raise ValueError("no end of central directory")
         count, length, start = struct.unpack_from("<HII", tail, at + 10)
         if count == 0xFFFF or length == 0xFFFFFFFF or start == 0xFFFFFFFF:
@@ -231,7 +231,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("_digest", F.sha1("payload"))
-    copies = rows.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    # Written, so that its size is known and that the join of two shuffles can split a payload of very many pages.
+    copies = written(rows.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "warc-copies")
     marked = rows.join(copies, "_digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("_first")), F.lit(None)).otherwise(F.col("_first")))
     folder = new_path(spark, "warc")
     folder = folder if re.match(r"[a-z0-9]+:", folder) else f"file://{folder}"
