@@ -10,17 +10,28 @@ from sedge.functions.ids import order_key, ordered_list
 INT_MAX = 2**31 - 1
 
 
+#: Companies of a supplier from which on its pairs are made in several tasks.
+HUB_ROWS = 2000
+
+
 def _meetings(edges: DataFrame, order: str) -> DataFrame:
     """c1, c2, supplier for every two companies of a supplier, c1 before c2.
 
     The edges are dealt by supplier into as many partitions as the session has for shuffles: they are few bytes
-    that make many rows, so Spark would otherwise coalesce them and leave cores idle.
+    that make many rows, so Spark would otherwise coalesce them and leave cores idle. A hub, a supplier of over
+    ``HUB_ROWS`` companies, is cut into that many fewer pieces on one side, each meeting a copy of the other, so
+    that no task makes all pairs of a hub. Hubs are few; Spark broadcasts them where they are small.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = edges.repartition(parts, "supplier")
-    a, b = (dealt.select("supplier", F.col("company").alias(c)) for c in ("c1", "c2"))
-    before = order_key(F.col("c1"), order) < order_key(F.col("c2"), order)
-    return a.join(b, "supplier").filter(before).select("c1", "c2", "supplier")
+    hubs = edges.groupBy("supplier").agg(F.count("*").alias("_n")).filter(F.col("_n") > HUB_ROWS)
+    cut = edges.join(hubs, "supplier", "left").withColumn("_pieces", F.ceil(F.coalesce("_n", F.lit(1)) / HUB_ROWS).cast("int"))
+    # Ordering keys are made once an edge and travel with it, not once a pair.
+    cut = cut.withColumn("_key", order_key(F.col("company"), order)) if order != "lex" else cut
+    left = cut.withColumn("_piece", F.pmod(F.hash("company"), "_pieces"))
+    right = cut.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    key = "company" if order == "lex" else "_key"
+    a, b = (side.select("supplier", "_piece", F.col("company").alias(c), F.col(key).alias(f"_{c}")).repartition(parts, "supplier", "_piece") for side, c in ((left, "c1"), (right, "c2")))
+    return a.join(b, ["supplier", "_piece"]).filter(F.col("_c1") < F.col("_c2")).select("c1", "c2", "supplier")
 
 
 def pair_counts(edges: DataFrame, order: str = "lex") -> DataFrame:

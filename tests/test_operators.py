@@ -110,3 +110,12 @@ def test_against_brute_force(spark, rows):
     assert {(r.company, r.other, r.rank) for r in topk_lex(edges_of(spark, rows)).collect()} == want
     best = sorted((-len(x), p) for p, x in pairs.items())[:1]
     assert [(r.c1, r.c2, r.common) for r in max_pair(edges_of(spark, rows)).collect()] == [(*p, -n) for n, p in best]
+
+
+def test_hubs_are_cut(spark, monkeypatch):
+    """A hub's pairs are the same made in one task or in several."""
+    rows = [(str(c), s) for s, n in (("hub", 40), ("x", 5), ("y", 1)) for c in range(n)]
+    whole = {tuple(r) for r in pair_members(edges_of(spark, rows)).select("c1", "c2", "common").collect()}
+    monkeypatch.setattr("sedge.operators.pairs.HUB_ROWS", 7)
+    assert {tuple(r) for r in pair_members(edges_of(spark, rows)).select("c1", "c2", "common").collect()} == whole
+    assert {(r.c1, r.c2, r.common) for r in pair_counts(edges_of(spark, rows), "numeric").collect()} == {(*sorted(r[:2], key=int), r[2]) for r in whole}
