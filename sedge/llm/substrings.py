@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.work import full_text, mapped, table, written
+from sedge.llm.work import full_text, mapped, numbered, table, written
 
 SPAN, MINI = 50, 12
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -144,15 +144,16 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, mini: int = MINI, texts: D
     in document ``src``, of smaller id, from ``src_at`` on. ``at`` holds the text's tag and the word's index."""
     texts = _texts(docs) if texts is None else texts
     paths = written(word_paths(_texts(docs), span, mini), "paths")
-    met = paths.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mini")
+    # What is joined back is written first: a join of two shuffles splits a hot key, one of a shuffle and an aggregate can't.
+    met = written(paths.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mini"), "shared-minis")
     shared = written(paths.join(met, "mini", "left_semi"), "shared-paths")
-    firsts = shared.groupBy("mini", "path").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi"), F.max("n").alias("n"))
+    firsts = written(shared.groupBy("mini", "path").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi"), F.max("n").alias("n")), "first-paths")
     again = firsts.filter("src < hi").select("mini", "path", "src", "src_at")
     equal = shared.join(again, ["mini", "path"]).filter("doc_id > src").select("doc_id", "at", "n", "src", "src_at")
     branching = firsts.groupBy("mini").agg(F.count("*").alias("ways"), F.min("src").alias("lo"), F.max("src").alias("hi")).filter("ways > 1 AND lo < hi").select("mini")
     opened = firsts.join(branching, "mini", "left_semi").select(F.col("src").alias("doc_id"), F.col("src_at").alias("at"), "n")
     windows = written(_windows(texts.join(_listed(opened), ["doc_id", "tag"]), span), "windows")
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi")).filter("src < hi").drop("hi")
+    first = written(windows.groupBy("window").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi")).filter("src < hi").drop("hi"), "first-windows")
     single = windows.join(first, "window").filter("doc_id > src").select("doc_id", "at", F.lit(1).alias("n"), "src", "src_at")
     return equal.unionByName(single)
 
@@ -203,10 +204,11 @@ def cleaned(docs: DataFrame, span: int = SPAN, mini: int = MINI) -> DataFrame:
     column, its code points; every other row and column stays as it is. No row is dropped.
     """
     names = docs.columns
-    key = docs.withColumn("_tag", F.hash(full_text())).select(*[F.col(f"`{n}`") for n in names], "_tag")
-    spans = _listed(repeated_spans(docs, span, mini)).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), "firsts", "counts")
-    joined = key.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_tag") == F.col("_t")), "left").select(*[F.col(f"`{n}`") for n in names], F.col("firsts").alias("_firsts"), F.col("counts").alias("_counts"))
-    at = names.index("text")
+    at, key = names.index("text"), F.col(f"c{names.index('doc_id')}")
+    rows = numbered(docs)
+    tagged = rows.withColumn("tag", F.hash(full_text(f"c{at}")))
+    spans = _listed(repeated_spans(docs, span, mini)).withColumnRenamed("tag", "own_tag")
+    joined = tagged.join(spans, (key == F.col("doc_id")) & (F.col("tag") == F.col("own_tag")), "left").select(*rows.columns, "firsts", "counts")
 
     def make():
         def step(batch):
@@ -219,15 +221,16 @@ def cleaned(docs: DataFrame, span: int = SPAN, mini: int = MINI) -> DataFrame:
                         stay[a : a + c + span - 1] = False
                     texts[i] = b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s).decode()
                     sizes[i] = len(texts[i])
-            out = {n: batch.column(k) for k, n in enumerate(names)}
-            out["text"] = texts
-            if "n_chars" in out and sizes:
-                out["n_chars"] = [sizes.get(i, v) for i, v in enumerate(out["n_chars"].to_pylist())]
+            out = {f"c{k}": batch.column(k) for k in range(len(names))}
+            out[f"c{at}"] = texts
+            if "n_chars" in names and sizes:
+                count = f"c{names.index('n_chars')}"
+                out[count] = [sizes.get(i, v) for i, v in enumerate(out[count].to_pylist())]
             return out
 
         return step
 
-    return mapped(joined, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return mapped(joined, make, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)).toDF(*names)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
