@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedge.llm.work import full_text, mapped, table, written
+from sedge.llm.work import full_text, mapped, numbered, table, written
 
 #: Words of a shingle, least similarity of a link, bands and registers of a band. Two texts at the least
 #: similarity share no band with probability (1 - 0.8**4)**20, under 3 in 100,000.
@@ -204,9 +204,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, b
     same = written(sk.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "bands", "marks"), "doc_id").alias("of")).select("same", "id", "of.*"), "distinct-texts")
     longs = range(-(-bands * rows // 8))
     marks = [f"m{i}" for i in longs]
-    buckets = same.select("id", *[F.get("marks", F.lit(i)).alias(m) for i, m in zip(longs, marks, strict=True)], F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    buckets = written(buckets.join(shared, "bucket"), "buckets")
+    # Nothing but ids goes along until the buckets of one text, which are nearly all, are gone. What is joined back
+    # is written first: a join of two shuffles splits a hot key, one of a shuffle and an aggregate can't.
+    every = same.select("id", F.explode("bands").alias("bucket"))
+    shared = written(every.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size"), "shared-buckets")
+    marked = same.select("id", *[F.get("marks", F.lit(i)).alias(m) for i, m in zip(longs, marks, strict=True)]).dropDuplicates(["id"])
+    buckets = written(every.join(shared.hint("merge"), "bucket").join(marked, "id"), "buckets")
     sets = written(shingle_sets(docs, buckets.select("id").distinct(), k).dropDuplicates(["id"]), "shingle-sets")
     star = written(measured(buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets), "star")
     first = components(linked(star, similar))
@@ -218,7 +221,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, b
     label = first.select("id", F.col("label").alias("_first"))
     last = second.select(F.col("id").alias("_mid"), F.col("label").alias("_second"))
     classes = same.select("same", "id").join(label, "id", "left").withColumn("_mid", F.coalesce("_first", "id")).join(last, "_mid", "left").select("same", F.coalesce("_second", "_mid").alias("class_id"))
-    found = sk.select("doc_id", "same").join(classes, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    found = sk.select("doc_id", "same").join(written(classes, "classes"), "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = docs.select("doc_id").join(found, "doc_id", "left")
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
@@ -253,8 +256,11 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one of least doc_id; its columns unchanged. Of that
     document's repeated rows one stays."""
     gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.withColumn("_again", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).dropDuplicates(["doc_id", "_again"]).drop("_again") if _repeated(docs) else kept
+    rows, key = numbered(docs), f"c{docs.columns.index('doc_id')}"
+    kept = rows.join(gone, F.col(key) == F.col("doc_id"), "left_anti")
+    if _repeated(docs):
+        kept = kept.withColumn("again", F.when(F.col(key).isNull(), F.monotonically_increasing_id())).dropDuplicates([key, "again"]).drop("again")
+    return kept.toDF(*docs.columns)
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -14,7 +14,7 @@ from sedge.llm.work import kept_in_process, mapped, table
 
 SPACE = "▁"
 #: Symbols up to which the agenda is a list, and entries remembered at a time.
-SHORT, MOST = 48, 250_000
+SHORT, MOST = 48, 120_000
 #: Ways to cut a text where no merge can cross, finest first; a model takes the first under which every piece is one part.
 CUTS = (rf"{SPACE}*(?:[^\W\d_¹²³]+|(?:[^\w{SPACE}]+|[\d_¹²³]+)+)|{SPACE}+", rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", r"(?s:.+)")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.work import in_pieces, mapped, table
+from sedge.llm.work import give_back, in_pieces, mapped, table
 
 #: Rows and columns of the word table, neighbours taken on either side, nonzero entries of a random vector.
 BUCKETS, DIMS, NEAR, ENTRIES = 8192, 32, 2, 4
@@ -94,6 +94,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in in_pieces(batch):
                 total += run(part)
+        give_back()
         used = np.flatnonzero(total[:BUCKETS].any(axis=1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(total[used, d].astype(np.int64)) for d in range(DIMS)]], names=["bucket", *[f"v{d}" for d in range(DIMS)]])
 

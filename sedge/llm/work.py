@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -79,11 +81,30 @@ def mapped(df: DataFrame, make, schema: str) -> DataFrame:
             for part in in_pieces(batch):
                 if (out := step(part)) is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k.type) for k, x in ((k, out[k.name]) for k in kinds)], schema=kinds)
+        del step
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def in_pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, where nobody has set that: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "1000")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its tasks, and two of them share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     if batch.nbytes <= most or batch.num_rows <= 1:
         if batch.num_rows:
             yield batch
