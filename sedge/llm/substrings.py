@@ -147,11 +147,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, mini: int = MINI, texts: D
     # What is joined back is written first: a join of two shuffles splits a hot key, one of a shuffle and an aggregate can't.
     met = written(paths.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mini"), "shared-minis")
     shared = written(paths.join(met, "mini", "left_semi"), "shared-paths")
-    firsts = written(shared.groupBy("mini", "path").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi"), F.max("n").alias("n")), "first-paths")
+    firsts = written(shared.groupBy("mini", "path").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi")), "first-paths")
     again = firsts.filter("src < hi").select("mini", "path", "src", "src_at")
     equal = shared.join(again, ["mini", "path"]).filter("doc_id > src").select("doc_id", "at", "n", "src", "src_at")
     branching = firsts.groupBy("mini").agg(F.count("*").alias("ways"), F.min("src").alias("lo"), F.max("src").alias("hi")).filter("ways > 1 AND lo < hi").select("mini")
-    opened = firsts.join(branching, "mini", "left_semi").select(F.col("src").alias("doc_id"), F.col("src_at").alias("at"), "n")
+    # A document may hold a path in several places, and none of them has been held against other paths yet.
+    places = firsts.join(branching, "mini", "left_semi").select("mini", "path", F.col("src").alias("doc_id"))
+    opened = shared.join(places, ["mini", "path", "doc_id"], "left_semi").select("doc_id", "at", "n")
     windows = written(_windows(texts.join(_listed(opened), ["doc_id", "tag"]), span), "windows")
     first = written(windows.groupBy("window").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi")).filter("src < hi").drop("hi"), "first-windows")
     single = windows.join(first, "window").filter("doc_id > src").select("doc_id", "at", F.lit(1).alias("n"), "src", "src_at")
