@@ -1,4 +1,4 @@
-"""Near-duplicate classes: ProbMinHash sketches of weighted word shingles, banding, exact verification, components."""
+"""Near-duplicate classes: ProbMinHash sketches of the sets of word shingles, banding, exact verification, components."""
 
 from __future__ import annotations
 
@@ -83,12 +83,13 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, same (digest of the text), n (distinct shingles), bands (keys; none for a text without words),
-    marks (a byte of each register, eight to a long)."""
+    marks (a byte of each register, eight to a long). Every shingle weighs 1, however often it occurs: a link is
+    defined by the Jaccard similarity of the sets, so bands and registers have to follow the same measure."""
 
     def make():
         def step(batch):
             texts = batch.column(1).to_pylist()
-            sets = [shingles(x, k) for x in texts]
+            sets = [(h, np.ones_like(c)) for h, c in (shingles(x, k) for x in texts)]
             some = [i for i, s in enumerate(sets) if s[0].size]
             registers = prob_minhash([sets[i] for i in some], bands * rows)
             keys = band_keys(registers, bands, rows)

@@ -2,7 +2,9 @@
 
 import random
 
-from sedge.llm import substrings
+from test_operators import brute_classes
+
+from sedge.llm import neardups, substrings
 
 
 def brute_kept(texts, span):
@@ -31,3 +33,20 @@ def test_substrings_block_twice(spark):
         texts[10 * case + 7] = " ".join(b + x + d + c + x + a)
     got = substrings.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), keep=True)
     assert {r.doc_id: bytes(r.kept).decode() for r in got.collect()} == brute_kept(texts, substrings.SPAN)
+
+
+def test_neardups_repeated_lines(spark):
+    """Near copies that differ in how often a line repeats."""
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(100_000)]
+    texts = []
+    for times in (1, 30, 200, 500):
+        for n, k in ((110, 20), (120, 12)):
+            for _ in range(5):
+                base, line = rng.choices(vocabulary, k=n), rng.choices(vocabulary, k=k)
+                texts += [" ".join(base), " ".join(base + line * times)]
+    texts = dict(enumerate(texts))
+    got = neardups.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = brute_classes(texts)
+    assert set(want.values()) == set(range(0, len(texts), 2))
+    assert {r.doc_id: r.class_id for r in got} == want
