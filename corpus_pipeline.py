@@ -14,7 +14,8 @@ from sedge.llm.work import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents whose language can be told, written to lang where that is null; those without a letter go.
+    Where no labelled text is there to learn from, those with a letter stay."""
     return languages.with_language(docs, languages.train(docs))
 
 

@@ -172,21 +172,25 @@ def identify(docs: DataFrame, model: Model | None, keep_text: bool = False) -> D
 
 
 def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without the documents whose language can't be told (``und``), its columns unchanged."""
+    """``docs`` without the texts that have no letter or are told to be ``und``, its columns unchanged. A null
+    ``lang`` becomes the language told; one that is given stays. Without a model no language is told: every
+    text with a letter stays as it is."""
     names = docs.columns
-    at = names.index("text")
+    at, lang = names.index("text"), names.index("lang")
 
     def make():
         def step(batch):
             texts = batch.column(at).to_pylist()
-            has = [i for i, x in enumerate(texts) if x and model is not None and _LETTER.search(x)]
-            told = set()
-            if has:
-                told = {i for i, n in zip(has, model.predict([texts[i] for i in has])[0], strict=True) if n != "und"}
+            has = [i for i, x in enumerate(texts) if x and _LETTER.search(x)]
+            told = dict.fromkeys(has)
+            if has and model is not None:
+                told = {i: n for i, n in zip(has, model.predict([texts[i] for i in has])[0], strict=True) if n != "und"}
             if not told:
                 return None
-            part = batch.take(np.array(sorted(told)))
-            return {n: part.column(i) for i, n in enumerate(names)}
+            part = batch.take(np.array(list(told)))
+            out = {n: part.column(i) for i, n in enumerate(names)}
+            out["lang"] = [n if g is None else g for g, n in zip(part.column(lang).to_pylist(), told.values(), strict=True)]
+            return out
 
         return step
 

@@ -1,10 +1,13 @@
 """Results that must be whole where a document repeats itself, or holds what others hold in other places."""
 
 import random
+from collections import Counter
 
+from pyspark.sql import functions as F
 from test_operators import brute_classes
 
-from sedge.llm import neardups, substrings
+import corpus_pipeline
+from sedge.llm import languages, neardups, substrings
 
 
 def brute_kept(texts, span):
@@ -50,3 +53,19 @@ def test_neardups_repeated_lines(spark):
     want = brute_classes(texts)
     assert set(want.values()) == set(range(0, len(texts), 2))
     assert {r.doc_id: r.class_id for r in got} == want
+
+
+def test_language_decides(spark, smoke):
+    """The language told is written where none is given; given ones stay."""
+    model = languages.train(smoke)
+    told = {r.doc_id: r.lang_pred for r in languages.identify(smoke, model).collect()}
+    given = {r.doc_id: r.lang for r in smoke.collect()}
+    got = languages.with_language(smoke.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), model)
+    assert {r.doc_id: r.lang for r in got.collect()} == {i: told[i] if i % 2 or given[i] is None else given[i] for i in told if told[i] != "und"}
+
+
+def test_language_unlabelled(spark, docs):
+    """Where no text has a language, those with a letter stay."""
+    got = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert Counter(r.doc_id for r in docs.collect()) - Counter(r.doc_id for r in got.collect()) == Counter([2, 3, 4, 10])
+    assert {r.lang for r in got.collect()} == {None}
