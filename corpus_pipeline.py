@@ -20,7 +20,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of least doc_id."""
+    """Of each class of near duplicates the document of least doc_id; different texts of one doc_id are judged apart."""
     return neardups.without_near_duplicates(docs)
 
 

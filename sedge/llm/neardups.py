@@ -254,14 +254,23 @@ def open_pairs(placed: DataFrame, marks: list[str], similar: float, registers: i
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, the one of least doc_id; its columns unchanged. Of that
-    document's repeated rows one stays."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    rows, key = numbered(docs), f"c{docs.columns.index('doc_id')}"
-    kept = rows.join(gone, F.col(key) == F.col("doc_id"), "left_anti")
-    if _repeated(docs):
-        kept = kept.withColumn("again", F.when(F.col(key).isNull(), F.monotonically_increasing_id())).dropDuplicates([key, "again"]).drop("again")
-    return kept.toDF(*docs.columns)
+    """``docs`` with one document of each class, the one of least doc_id; its columns unchanged.
+
+    Where a doc_id repeats, its different texts are documents of their own, ordered by doc_id and then by the
+    SHA-256 of the text: each stays or goes as its own text is judged. Of rows of one doc_id and one text (null
+    is empty) one stays, that of the least hash of all columns but maps.
+    """
+    rows, key, text = numbered(docs), f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
+    if not _repeated(docs):
+        gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+        return rows.join(gone, F.col(key) == F.col("doc_id"), "left_anti").toDF(*docs.columns)
+    known = F.col(key).isNotNull()
+    digest = F.when(known, F.sha2(full_text(text).cast("binary"), 256))
+    named = rows.withColumn("own", F.when(known, F.struct(F.col(key).alias("id"), digest.alias("digest"))))
+    gone = near_duplicates(named.select(F.col("own").alias("doc_id"), F.col(text).alias("text"))).filter("NOT kept").select("doc_id").distinct()
+    kept = named.join(gone, F.col("own") == F.col("doc_id"), "left_anti").withColumn("again", F.when(~known, F.monotonically_increasing_id()))
+    order = F.xxhash64(*[f.name for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    return kept.groupBy("own", "again").agg(F.min_by(F.struct(*rows.columns), order).alias("row")).select("row.*").toDF(*docs.columns)
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -69,3 +69,19 @@ def test_language_unlabelled(spark, docs):
     got = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
     assert Counter(r.doc_id for r in docs.collect()) - Counter(r.doc_id for r in got.collect()) == Counter([2, 3, 4, 10])
     assert {r.lang for r in got.collect()} == {None}
+
+
+def test_neardups_clashing_ids(spark):
+    """Different texts of one doc_id are judged apart, whatever the order of the rows."""
+    rng = random.Random(17)
+    x, y, z = (" ".join(f"w{rng.randrange(100_000)}" for _ in range(120)) for _ in range(3))
+    data = [(1, x, "a"), (2, x + " more", "a"), (2, y, "a"), (2, y, "b"), (3, y + " more", "a"), (4, z, "a"), (4, "", "a"), (4, None, "a"), (None, x, "a"), (None, x, "a")]
+
+    def left(some):
+        got = neardups.without_near_duplicates(spark.createDataFrame(some, "doc_id long, text string, source string"))
+        assert got.columns == ["doc_id", "text", "source"]
+        return Counter(tuple(r) for r in got.collect())
+
+    found = left(data)
+    assert Counter((i, t or "") for (i, t, _), n in found.items() for _ in range(n)) == Counter([(1, x), (2, y), (4, z), (4, ""), (None, x), (None, x)])
+    assert left(data[::-1]) == found
