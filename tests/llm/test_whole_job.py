@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 from pyspark.sql import functions as F
-from test_operators import brute_classes
+from test_llm_operators import brute_classes
 
 import corpus_pipeline
 from sedge.llm import languages, neardups, substrings
