@@ -34,6 +34,7 @@ def exploded(adjacent: DataFrame) -> DataFrame:
 
 
 def limit_hubs(edges: DataFrame, max_companies: int = 5000) -> DataFrame:
-    """The edge set without suppliers of more than ``max_companies`` companies."""
-    small = edges.groupBy("supplier").agg(F.count("*").alias("_n")).filter(F.col("_n") <= max_companies).select("supplier")
-    return edges.join(small, "supplier", "left_semi").select("company", "supplier")
+    """The edge set without suppliers of more than ``max_companies`` companies. Those are few, and what is few is
+    matched: Spark broadcasts it where it is small."""
+    large = edges.groupBy("supplier").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_companies).select("supplier")
+    return edges.join(large, "supplier", "left_anti").select("company", "supplier")

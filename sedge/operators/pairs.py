@@ -1,48 +1,54 @@
-"""Pairs of companies that share suppliers. All take an edge set (distinct edges)."""
+"""Pairs of companies that share suppliers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.functions.ids import order_key, ordered_list
+from sedge.functions.ids import ordered_list
+from sedge.operators.numbering import number
+from sedge.storage import written
 
 INT_MAX = 2**31 - 1
 
-
 #: Companies of a supplier from which on its pairs are made in several tasks.
 HUB_ROWS = 2000
 
 
-def _meetings(edges: DataFrame, order: str) -> DataFrame:
-    """c1, c2, supplier for every two companies of a supplier, c1 before c2.
+def meetings(edges: DataFrame) -> DataFrame:
+    """c1, c2, supplier for every two companies (numbers) of a supplier, c1 before c2.
 
-    The edges are dealt by supplier into as many partitions as the session has for shuffles: they are few bytes
-    that make many rows, so Spark would otherwise coalesce them and leave cores idle. A hub, a supplier of over
-    ``HUB_ROWS`` companies, is cut into that many fewer pieces on one side, each meeting a copy of the other, so
-    that no task makes all pairs of a hub. Hubs are few; Spark broadcasts them where they are small.
+    A hub, a supplier of over ``HUB_ROWS`` companies, is cut into that many fewer pieces on one side, each meeting
+    a copy of the other, so that no task makes all pairs of a hub. Hubs are few: they are written, so that their size
+    is known. Where there are none the edges are dealt once for both sides.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hubs = edges.groupBy("supplier").agg(F.count("*").alias("_n")).filter(F.col("_n") > HUB_ROWS)
-    cut = edges.join(hubs, "supplier", "left").withColumn("_pieces", F.ceil(F.coalesce("_n", F.lit(1)) / HUB_ROWS).cast("int"))
-    # Ordering keys are made once an edge and travel with it, not once a pair.
-    cut = cut.withColumn("_key", order_key(F.col("company"), order)) if order != "lex" else cut
-    left = cut.withColumn("_piece", F.pmod(F.hash("company"), "_pieces"))
-    right = cut.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
-    key = "company" if order == "lex" else "_key"
-    a, b = (side.select("supplier", "_piece", F.col("company").alias(c), F.col(key).alias(f"_{c}")).repartition(parts, "supplier", "_piece") for side, c in ((left, "c1"), (right, "c2")))
-    return a.join(b, ["supplier", "_piece"]).filter(F.col("_c1") < F.col("_c2")).select("c1", "c2", "supplier")
+    if hubs.isEmpty():
+        a, b = (edges.select(F.col("company").alias(c), "supplier") for c in ("c1", "c2"))
+        return a.join(b, "supplier").filter("c1 < c2").select("c1", "c2", "supplier")
+    cut = edges.join(written(hubs, "hubs"), "supplier", "left").withColumn("_pieces", F.ceil(F.coalesce("_n", F.lit(1)) / HUB_ROWS).cast("int"))
+    a = cut.select("supplier", F.pmod(F.xxhash64("company"), "_pieces").cast("int").alias("_piece"), F.col("company").alias("c1"))
+    b = cut.select("supplier", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_piece"), F.col("company").alias("c2"))
+    return a.join(b, ["supplier", "_piece"]).filter("c1 < c2").select("c1", "c2", "supplier")
+
+
+def counted(edges: DataFrame) -> DataFrame:
+    """c1, c2, common (numbers): how many suppliers two companies share."""
+    return meetings(edges).groupBy("c1", "c2").agg(F.count("*").alias("common"))
 
 
 def pair_counts(edges: DataFrame, order: str = "lex") -> DataFrame:
     """c1, c2, common: how many suppliers two companies share."""
-    return _meetings(edges, order).groupBy("c1", "c2").agg(F.count("*").alias("common"))
+    own = number(edges, order)
+    return own.named(counted(own.edges), "c1", "c2")
 
 
 def pair_members(edges: DataFrame, order: str = "lex") -> DataFrame:
     """c1, c2, common, shared (ordered array) for all pairs. For a ranking take ``attach_shared`` instead, which
     gathers lists for the winners only."""
-    return _meetings(edges, order).groupBy("c1", "c2").agg(F.count("*").alias("common"), ordered_list(F.col("supplier"), order).alias("shared"))
+    own = number(edges, order)
+    lists = meetings(own.edges).groupBy("c1", "c2").agg(F.count("*").alias("common"), ordered_list(F.col("supplier"), order).alias("shared"))
+    return own.named(lists, "c1", "c2")
 
 
 def saturated(counts: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """The registered queries over the driver's tables, each with the DuckDB statement that gives the same rows.
 
-Companies and suppliers are cut from the tables: R1 sells parts to suppliers (``l_suppkey``, ``l_partkey``), R2 ties
-users to event types, R3 ties early orders to parts, whose brands are the labels, R4 ties all orders to parts. The
-queries over R3 keep the date for a selective test of "at least two"; those named ``_all`` do the job over R4.
+Companies and suppliers are cut from the tables, always from all rows: R1 sells parts to suppliers (``l_suppkey``,
+``l_partkey``), R2 ties users to event types, R3 ties orders to parts, whose brands are the labels, R4 is R1 with
+leading zeros in some ids, R5 ties suppliers to orders, of which two suppliers share few.
 """
 
 from __future__ import annotations
@@ -12,16 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.functions.lines import filter_id_suffix, format_lex_line, format_numeric_line
+from sedge.functions.lines import filter_id_suffix, format_lex_line, format_numeric_line, short_similarity
 from sedge.operators.community import one_label, shared_suppliers, titled
 from sedge.operators.graph import adjacency, degrees, distinct_edges, exploded, inverted_index, limit_hubs
-from sedge.operators.pairs import pair_counts, pair_members, saturated, top_pair
-from sedge.operators.similarity import directed, jaccard
-from sedge.plans.tasks import community_counts, max_pair, topk_lex, topk_numeric
-from sedge.sources.text import parse_edges, parse_labels
+from sedge.operators.numbering import number
+from sedge.operators.pairs import pair_counts, pair_members, saturated
+from sedge.operators.similarity import directed
+from sedge.plans.tasks import community_counts, max_pair, similar_pairs, topk_lex, topk_numeric
+from sedge.sources.text import parse_edges, parse_labels, read_edges, write_lines
+from sedge.storage import new_path
 
 HUB = 25
-CUT = "1995-02-01"
+#: What counts are multiplied by, so that some pass the largest 32-bit integer.
+MANY = 16_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +44,16 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early = _table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") < F.lit(CUT).cast("timestamp"))
-    return early.select(_text("l_orderkey").alias("company"), _text("l_partkey").alias("supplier"))
+    return _table(spark, sf_dir, "lineitem").select(_text("l_orderkey").alias("company"), _text("l_partkey").alias("supplier"))
 
 
 def r4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select(_text("l_orderkey").alias("company"), _text("l_partkey").alias("supplier"))
+    padded = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("00"), _text("l_suppkey"))).otherwise(_text("l_suppkey"))
+    return _table(spark, sf_dir, "lineitem").select(padded.alias("company"), _text("l_partkey").alias("supplier"))
+
+
+def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select(_text("l_suppkey").alias("company"), _text("l_orderkey").alias("supplier"))
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +64,47 @@ def _lines(spark: SparkSession, sf_dir: str, separator: str, *more: Column) -> D
     return _table(spark, sf_dir, "lineitem").select(F.concat_ws(separator, _text("l_suppkey"), _text("l_partkey"), *more).alias("value"))
 
 
+def _untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line a row of lineitem: padded, of one token, blank, led by a comma, of three tokens, of two tabs, of comma and space."""
+    s, p, way = _text("l_suppkey"), _text("l_partkey"), F.col("l_orderkey") % 7
+    lines = [F.concat(F.lit(" \t"), s, F.lit(" "), p, F.lit("  ")), s, F.lit("   "), F.concat(F.lit(","), s, F.lit(" "), p), F.concat(s, F.lit(","), p, F.lit(",x")), F.concat(s, F.lit("\t\t"), p), F.concat(s, F.lit(", "), p)]
+    value = F.when(way == 0, lines[0])
+    for k in range(1, 7):
+        value = value.when(way == k, lines[k])
+    return _table(spark, sf_dir, "lineitem").select(value.alias("value"))
+
+
+def _sunk(lines: DataFrame, **how) -> DataFrame:
+    """The lines as a sink's files hold them."""
+    spark = lines.sparkSession
+    path = new_path(spark, "sink")
+    write_lines(lines, path, **how)
+    return spark.read.text(path)
+
+
+def _globbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of two folders, read by one pattern."""
+    path = new_path(spark, "folders")
+    lines = _lines(spark, sf_dir, " ")
+    for name, rows in (("part-a", lines), ("part-b", _lines(spark, sf_dir, "\t", F.lit("more")))):
+        write_lines(rows, f"{path}/{name}")
+    return read_edges(spark, f"{path}/part-*")
+
+
+def _conflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brands(spark, sf_dir).unionAll(brands(spark, sf_dir).select("company", F.lower("label").alias("label")))
+
+
+def _similar(spark: SparkSession, sf_dir: str, edges: Callable) -> DataFrame:
+    own = number(edges(spark, sf_dir))
+    return own.named(similar_pairs(own), "c1", "c2")
+
+
+def _directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = number(r1(spark, sf_dir))
+    return own.named(directed(similar_pairs(own)), "company", "other")
+
+
 def _e1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_edges(r1(spark, sf_dir))
 
@@ -85,15 +133,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adjacency_exploded": lambda s, d: exploded(adjacency(_e1(s, d))),
     "inverted_index": lambda s, d: _joined(inverted_index(_e1(s, d)), "companies"),
     "hub_guard_pairs": lambda s, d: pair_counts(limit_hubs(_e1(s, d), HUB)),
-    "pair_counts_lex": lambda s, d: pair_counts(_e1(s, d)),
-    "pair_counts_numeric": lambda s, d: pair_counts(_e1(s, d), "numeric"),
-    "pair_counts_saturated": lambda s, d: saturated(pair_counts(distinct_edges(r3(s, d)))),
-    "pair_members_lex": lambda s, d: _joined(pair_members(_e1(s, d)), "shared"),
-    "pair_members_numeric": lambda s, d: _joined(pair_members(_e1(s, d), "numeric"), "shared"),
+    "pair_counts_lex": lambda s, d: pair_counts(r1(s, d)),
+    "pair_counts_numeric": lambda s, d: pair_counts(r1(s, d), "numeric"),
+    "pair_counts_saturated": lambda s, d: saturated(pair_counts(r3(s, d))),
+    "pair_members_lex": lambda s, d: _joined(pair_members(r1(s, d)), "shared"),
+    "pair_members_numeric": lambda s, d: _joined(pair_members(r1(s, d), "numeric"), "shared"),
     "max_pair": lambda s, d: max_pair(r1(s, d)),
     "max_pair_hub_guard": lambda s, d: max_pair(r1(s, d), HUB),
-    "jaccard_pairs": lambda s, d: _rounded(jaccard(pair_counts(_e1(s, d)), degrees(_e1(s, d)))),
-    "directed_pairs": lambda s, d: _rounded(directed(jaccard(pair_counts(_e1(s, d)), degrees(_e1(s, d))))),
+    "jaccard_pairs": lambda s, d: _rounded(_similar(s, d, r1)),
+    "directed_pairs": lambda s, d: _rounded(_directed(s, d)),
     "topk_lex": lambda s, d: _ranked(topk_lex(r1(s, d), shared=False)),
     "topk_numeric": lambda s, d: _ranked(topk_numeric(r1(s, d), shared=False)),
     "topk_ties_lex": lambda s, d: _ranked(topk_lex(r2(s, d), shared=False)),
@@ -101,22 +149,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_with_shared": lambda s, d: _ranked(topk_lex(r1(s, d))),
     "topk_numeric_with_shared": lambda s, d: _ranked(topk_numeric(r1(s, d))),
     "shared_suppliers": lambda s, d: shared_suppliers(distinct_edges(r3(s, d))),
-    "one_label": lambda s, d: one_label(brands(s, d).unionAll(brands(s, d).select("company", F.lower("label").alias("label")))),
+    "one_label": lambda s, d: one_label(_conflicting(s, d)),
     "community_counts": lambda s, d: community_counts(r3(s, d), brands(s, d)),
     "community_lines": lambda s, d: titled(community_counts(r3(s, d), brands(s, d))),
-    "pair_counts_saturated_all": lambda s, d: saturated(pair_counts(distinct_edges(r4(s, d)))),
-    "shared_suppliers_all": lambda s, d: shared_suppliers(distinct_edges(r4(s, d))),
-    "community_counts_all": lambda s, d: community_counts(r4(s, d), brands(s, d)),
-    "community_lines_all": lambda s, d: titled(community_counts(r4(s, d), brands(s, d))),
     "suffix_filter": lambda s, d: _ranked(filter_id_suffix(topk_numeric(r1(s, d), shared=False), "7")),
     "format_lex": lambda s, d: topk_lex(r2(s, d)).select("company", "rank", format_lex_line().alias("line")),
     "format_numeric": lambda s, d: topk_numeric(r2(s, d)).select("company", "rank", format_numeric_line().alias("line")),
+    "parse_untidy_ws": lambda s, d: parse_edges(_untidy(s, d), "ws"),
+    "parse_untidy_commas": lambda s, d: parse_edges(_untidy(s, d), "ws_or_comma"),
+    "scan_glob": _globbed,
+    "topk_leading_zeros": lambda s, d: _ranked(topk_numeric(r4(s, d))),
+    "similarity_text": lambda s, d: _similar(s, d, r5).select("c1", "c2", short_similarity(F.col("sim")).alias("text")),
+    "saturation": lambda s, d: saturated(pair_counts(r1(s, d)).withColumn("common", F.col("common") * MANY)),
+    "community_conflicts": lambda s, d: community_counts(r3(s, d), _conflicting(s, d)),
+    "sink_tabs": lambda s, d: _sunk(pair_counts(r1(s, d))),
+    "sink_trailing_tab": lambda s, d: _sunk(topk_lex(r2(s, d)).select(format_lex_line().alias("line")), trailing_tab=True),
+    "sink_keys": lambda s, d: _sunk(topk_numeric(r2(s, d)).select(format_numeric_line().alias("line"))),
 }
 
 _R1 = "e AS (SELECT DISTINCT l_suppkey::VARCHAR AS company, l_partkey::VARCHAR AS supplier FROM lineitem)"
 _R2 = "e AS (SELECT DISTINCT user_id::VARCHAR AS company, event_type AS supplier FROM events)"
-_R3 = f"e AS (SELECT DISTINCT l_orderkey::VARCHAR AS company, l_partkey::VARCHAR AS supplier FROM lineitem WHERE l_shipdate < TIMESTAMP '{CUT}')"
-_R4 = "e AS (SELECT DISTINCT l_orderkey::VARCHAR AS company, l_partkey::VARCHAR AS supplier FROM lineitem)"
+_R3 = "e AS (SELECT DISTINCT l_orderkey::VARCHAR AS company, l_partkey::VARCHAR AS supplier FROM lineitem)"
+_R4 = "e AS (SELECT DISTINCT CASE WHEN l_partkey % 3 = 0 THEN '00' || l_suppkey ELSE l_suppkey::VARCHAR END AS company, l_partkey::VARCHAR AS supplier FROM lineitem)"
+_R5 = "e AS (SELECT DISTINCT l_suppkey::VARCHAR AS company, l_orderkey::VARCHAR AS supplier FROM lineitem)"
 _DEGREES = "d AS (SELECT company, count(*) AS degree FROM e GROUP BY company)"
 
 
@@ -156,7 +211,25 @@ _LEX_LINE = "company, rank, company || ':' || other || ', {' || shared || '}, '
 _NUMERIC_LINE = r"company, rank, company || ':' || other || ', {' || shared || '}, ' || regexp_replace(regexp_replace(substr(printf('%.17f', sim), 1, 12), '0+$', ''), '\.$', '') AS line"
 _COMMUNITY = f"""WITH {_R3}, l AS (SELECT p_partkey::VARCHAR AS company, max(p_brand) AS label FROM part GROUP BY 1),
 shared AS (SELECT supplier FROM e GROUP BY supplier HAVING count(*) >= 2)"""
-_COMMUNITY_ALL = f"WITH {_R4}" + _COMMUNITY.removeprefix(f"WITH {_R3}")
+_CONFLICTS = _COMMUNITY.replace("max(p_brand)", "max(greatest(p_brand, lower(p_brand)))")
+_UNTIDY = """lines AS (SELECT CASE l_orderkey % 7 WHEN 0 THEN ' ' || chr(9) || s || ' ' || p || '  ' WHEN 1 THEN s WHEN 2 THEN '   ' WHEN 3 THEN ',' || s || ' ' || p
+  WHEN 4 THEN s || ',' || p || ',x' WHEN 5 THEN s || chr(9) || chr(9) || p ELSE s || ', ' || p END AS line
+  FROM (SELECT l_orderkey, l_suppkey::VARCHAR AS s, l_partkey::VARCHAR AS p FROM lineitem))"""
+
+
+def _split(separator: str) -> str:
+    parts = f"regexp_split_to_array(trim(line, ' ' || chr(9)), '{separator}')"
+    return f"WITH {_UNTIDY}, cut AS (SELECT {parts} AS x FROM lines) SELECT x[1] AS company, x[2] AS supplier FROM cut WHERE x[1] <> '' AND coalesce(x[2], '') <> ''"
+
+
+#: The order of R4's ids: by number, and equal numbers by their text.
+_ZEROS = "length(ltrim({0}, '0')), ltrim({0}, '0'), {0}"
+_SIM_TEXT = r"regexp_replace(regexp_replace(substr(printf('%.17f', sim), 1, 12), '0+$', ''), '\.$', '')"
+_PADDED = f"""WITH {_R4}, {_DEGREES},
+p AS (SELECT a.company AS c1, b.company AS c2, count(*) AS common FROM e a JOIN e b ON a.supplier = b.supplier AND a.company <> b.company GROUP BY 1, 2),
+s AS (SELECT c1 AS company, c2 AS other, common, common::DOUBLE / (x.degree + y.degree - common)::DOUBLE AS sim FROM p JOIN d x ON x.company = c1 JOIN d y ON y.company = c2),
+t AS (SELECT company, row_number() OVER (PARTITION BY company ORDER BY sim DESC, {_ZEROS.format("other")}) AS rank, other, common, sim FROM s QUALIFY rank <= 4)
+"""
 _GUARD = f"g AS (SELECT * FROM e WHERE supplier IN (SELECT supplier FROM e GROUP BY supplier HAVING count(*) <= {HUB}))"
 
 ORACLES: dict[str, str] = {
@@ -189,11 +262,17 @@ ORACLES: dict[str, str] = {
     "one_label": "SELECT p_partkey::VARCHAR AS company, max(greatest(p_brand, lower(p_brand))) AS label FROM part GROUP BY 1",
     "community_counts": f"{_COMMUNITY} SELECT label, count(*) AS n FROM shared JOIN l ON l.company = supplier GROUP BY label",
     "community_lines": f"{_COMMUNITY} SELECT 'Community ' || label AS community, count(*) AS n FROM shared JOIN l ON l.company = supplier GROUP BY label",
-    "pair_counts_saturated_all": f"WITH {_R4}, {_pairs()} SELECT c1, c2, least(common, 2147483647)::INTEGER AS common FROM p",
-    "shared_suppliers_all": f"WITH {_R4} SELECT supplier FROM e GROUP BY supplier HAVING count(*) >= 2",
-    "community_counts_all": f"{_COMMUNITY_ALL} SELECT label, count(*) AS n FROM shared JOIN l ON l.company = supplier GROUP BY label",
-    "community_lines_all": f"{_COMMUNITY_ALL} SELECT 'Community ' || label AS community, count(*) AS n FROM shared JOIN l ON l.company = supplier GROUP BY label",
     "suffix_filter": _top(_R1, "numeric", 4, _TOP + " WHERE regexp_matches(company, '^[0-9]*7$')"),
     "format_lex": _top(_R2, "lex", 3, _lists("lex", _LEX_LINE)),
     "format_numeric": _top(_R2, "numeric", 4, _lists("numeric", _NUMERIC_LINE)),
+    "parse_untidy_ws": _split(r"\s+"),
+    "parse_untidy_commas": _split(r"[\s,]+"),
+    "scan_glob": "SELECT l_suppkey::VARCHAR AS company, l_partkey::VARCHAR AS supplier FROM lineitem UNION ALL SELECT l_suppkey::VARCHAR, l_partkey::VARCHAR FROM lineitem",
+    "topk_leading_zeros": _PADDED + _lists("numeric", _WITH_LISTS),
+    "similarity_text": f"WITH {_R5}, {_DEGREES}, {_pairs()}, {_SIMS} SELECT c1, c2, {_SIM_TEXT} AS text FROM s",
+    "saturation": f"WITH {_R1}, {_pairs()} SELECT c1, c2, least(common * {MANY}, 2147483647)::INTEGER AS common FROM p",
+    "community_conflicts": f"{_CONFLICTS} SELECT label, count(*) AS n FROM shared JOIN l ON l.company = supplier GROUP BY label",
+    "sink_tabs": f"WITH {_R1}, {_pairs()} SELECT c1 || chr(9) || c2 || chr(9) || common AS value FROM p",
+    "sink_trailing_tab": f"SELECT line || chr(9) AS value FROM ({_top(_R2, 'lex', 3, _lists('lex', _LEX_LINE))})",
+    "sink_keys": f"SELECT line AS value FROM ({_top(_R2, 'numeric', 4, _lists('numeric', _NUMERIC_LINE))})",
 }

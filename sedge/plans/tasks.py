@@ -1,38 +1,46 @@
-"""The four analyses."""
+"""The four analyses. Each reads its input once: the edge set is kept, and all else follows from it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from sedge.operators.community import count_by_community, shared_suppliers
-from sedge.operators.graph import degrees, distinct_edges, limit_hubs
-from sedge.operators.pairs import pair_counts, top_pair
+from sedge.operators.graph import distinct_edges, limit_hubs
+from sedge.operators.numbering import EdgeSet, number
+from sedge.operators.pairs import counted, top_pair
 from sedge.operators.similarity import attach_shared, directed, jaccard, top_k
+from sedge.storage import written
 
 
 def max_pair(edges: DataFrame, max_companies: int | None = 5000) -> DataFrame:
     """c1, c2, common: the two companies of most common suppliers, hubs of over ``max_companies`` left out."""
-    found = distinct_edges(edges)
-    return top_pair(pair_counts(found if max_companies is None else limit_hubs(found, max_companies)))
+    own = number(edges)
+    return own.named(top_pair(counted(own.edges if max_companies is None else limit_hubs(own.edges, max_companies))), "c1", "c2")
 
 
-def ranked(edges: DataFrame, k: int, rank_decimals: int | None, order: str) -> DataFrame:
-    """company, rank, other, common, sim of each company's ``k`` nearest peers. Counts come first: the lists of
-    shared suppliers are gathered for the winners only, by ``attach_shared``."""
-    found = distinct_edges(edges)
-    return top_k(directed(jaccard(pair_counts(found, order), degrees(found))), k, rank_decimals, order).select("company", "rank", "other", "common", "sim")
+def similar_pairs(own: EdgeSet) -> DataFrame:
+    """c1, c2, common, sim (numbers) of every two companies that share a supplier."""
+    return jaccard(counted(own.edges), own.degrees)
+
+
+def ranked(edges: DataFrame, k: int, rank_decimals: int | None, order: str, shared: bool) -> DataFrame:
+    """company, rank, other, common, sim of each company's ``k`` nearest peers, and ``shared``. Counts come first: the
+    lists of shared suppliers are gathered for the winners only. Numbers stand in the order of the ids, so ties
+    are broken by number."""
+    own = number(edges, order)
+    top = top_k(directed(similar_pairs(own)), k, rank_decimals).select("company", "rank", "other", "common", "sim")
+    top = attach_shared(written(top, "ranking"), own.edges, order) if shared else top
+    return own.named(top, "company", "other")
 
 
 def topk_lex(edges: DataFrame, k: int = 3, shared: bool = True) -> DataFrame:
     """Ranked by similarity at six decimals, then by id as text."""
-    top = ranked(edges, k, 6, "lex")
-    return attach_shared(top, distinct_edges(edges), "lex") if shared else top
+    return ranked(edges, k, 6, "lex", shared)
 
 
 def topk_numeric(edges: DataFrame, k: int = 4, shared: bool = True) -> DataFrame:
     """Ranked by exact similarity, then by id as a number of any length."""
-    top = ranked(edges, k, None, "numeric")
-    return attach_shared(top, distinct_edges(edges), "numeric") if shared else top
+    return ranked(edges, k, None, "numeric", shared)
 
 
 def community_counts(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """The micro-fixture of FIXTURES.md and its expected outputs."""
 
+from types import SimpleNamespace
+
 import pytest
 
-from sedge import cli
+from sedge import cli, storage
 from sedge.functions.lines import filter_id_suffix, format_lex_line, format_numeric_line
 from sedge.operators.community import titled
 from sedge.plans import community_counts, max_pair, topk_lex, topk_numeric
-from sedge.sources import parse_edges, parse_labels
+from sedge.sources import parse_edges, parse_labels, read_edges
 
 LINES = ["1 10", "1 11", "1 12", "2\t10", "2 11", "2 13", "3 11", "3 12", "10 11", "9 10", "1 10", "4,20", "   ", "x", "007 11", "z 11"]
 LABELS = ["10 5", "11 5", "12 7", "13 7", "1 9"]
@@ -107,13 +109,36 @@ def test_files(spark, tmp_path):
 
     def run(*args):
         cli.main([str(a) for a in args], spark)
-        return sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+        parts = sorted((tmp_path / "out").glob("part-*"))
+        return [line for x in parts for line in x.read_text().splitlines()]
 
     assert run("max-pair", tmp_path / "in", tmp_path / "out") == ["1\t2\t2"]
-    assert run("topk-lex", tmp_path / "in", tmp_path / "out") == sorted(x + "\t" for x in LEX)
-    assert run("community", tmp_path / "in", tmp_path / "labels", tmp_path / "out") == ["Community 5\t2", "Community 7\t1"]
-    assert run("topk-numeric", tmp_path / "in", tmp_path / "out", 4) == sorted(NUMERIC)
+    assert run("topk-lex", tmp_path / "in", tmp_path / "out") == [x + "\t" for x in LEX]
+    assert sorted(run("community", tmp_path / "in", tmp_path / "labels", tmp_path / "out")) == ["Community 5\t2", "Community 7\t1"]
+    assert by_company(run("topk-numeric", tmp_path / "in", tmp_path / "out", 4)) == by_company(NUMERIC)
     cli.main(["suffix", "7", str(tmp_path / "out"), str(tmp_path / "out2")], spark)
     assert spark.read.text(str(tmp_path / "out2")).count() == 4
     with pytest.raises(Exception, match="(?i)exist"):
         cli.main(["--mode", "errorifexists", "max-pair", str(tmp_path / "in"), str(tmp_path / "out")], spark)
+
+
+def test_folders_and_patterns(spark, tmp_path):
+    for name, lines in (("a1", LINES[:5]), ("a2", LINES[5:]), ("b1", ["no pattern"])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part").write_text("\n".join(lines) + "\n")
+    assert read_edges(spark, f"{tmp_path}/a*").distinct().count() == 12
+    assert read_edges(spark, [f"{tmp_path}/a1", f"{tmp_path}/a2"]).distinct().count() == 12
+
+
+def test_working_tables(spark, tmp_path):
+    """Tables on the way go as soon as what came of them is written; on a cluster there is no folder of one's own."""
+    made = len(storage._made)
+    df = spark.range(5)
+    out = storage.settled("end", lambda: storage.written(df.union(storage.written(df, "one")), "two"))
+    assert out.count() == 10 and len(storage._made) == made + 1
+    storage.discard(out, df)
+    assert len(storage._made) == made
+    context = SimpleNamespace(master="local-cluster[2,1,1024]", _jsc=spark.sparkContext._jsc)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            storage.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
