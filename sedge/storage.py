@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Tables of this process that are still there, oldest first.
 _made: list[str] = []
 _own: list[str] = []
+_roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path of its own under the shared folder, removed with ``discard`` or at the driver's end."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    files, at = _files(spark, path)
-    files.deleteOnExit(at)
+    """A path of its own in this application's folder under the shared one, which goes when the driver's JVM ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _roots:
+        root = f"{shared_dir(spark)}/sedge-{application}-{uuid.uuid4().hex[:8]}"
+        files, at = _files(spark, root)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _roots[application] = root
+    path = f"{_roots[application]}/{label}-{uuid.uuid4().hex}"
     _made.append(path)
     return path
 
