@@ -21,12 +21,13 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sedge.llm.work import mapped, new_path, table, written
+from sedge.llm.work import fields, give_back, new_path, table, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
-#: Bytes of payload after which a task starts another package.
-PACKAGE = 32 << 20
+#: Bytes of payload after which a task starts another package, and tasks that read packages, at most.
+PACKAGE, READERS = 32 << 20, 10_000
 #: A fixed date: a record is a function of its page alone.
 DATE = "2000-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,6 +153,22 @@ def package(records: list[tuple[bytes, str]], zip64: bool = False) -> bytes:
     return out.getvalue()
 
 
+#: What Hadoop calls an object store, and what Arrow calls it.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "file": "file", "hdfs": "hdfs", "s3": "s3", "gs": "gs", "abfs": "abfs"}
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or plain path, as Spark spells them, and the path in it."""
+    scheme, mark, rest = uri.partition(":")
+    if not mark or "/" in scheme:
+        return pafs.LocalFileSystem(), uri
+    if scheme not in SCHEMES:
+        raise ValueError(f"no file system for {scheme}:")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
+
+
 def write_packages(rows: DataFrame, folder: str) -> DataFrame:
     """Write rows (page_id, url, payload, refers_to) as packages under ``folder``, a URI that every executor reaches.
 
@@ -160,7 +177,7 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         done, own, size = [], [], 0
         stem = f"{root}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
@@ -186,38 +203,41 @@ def write_packages(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, records long")
 
 
-def read_packages(manifest: DataFrame, folder: str) -> DataFrame:
+def read_packages(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """A row per record of the packages a manifest names: page, url, payload_bytes, payload_digest, record_type,
-    refers_to, payload (null for a revisit), path, offset, length.
+    refers_to, path, offset, length, and with ``payloads`` payload (null for a revisit).
 
-    Records are found by the index and read by range. A response whose payload doesn't have the digest of its
-    header, or a revisit with a payload, raises ValueError.
+    Records are found by the index and read by range, a package at a time. A response whose payload doesn't have
+    the digest of its header, or a revisit with a payload, raises ValueError.
     """
-    columns = ("page", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "path", "offset", "length")
+    schema = fields(page="string", url="string", payload_bytes="long", payload_digest="string", record_type="string", refers_to="string", path="string", offset="long", length="long", payload="binary")
+    names = schema.names
+
+    def records(fs, path):
+        with fs.open_input_file(path) as f:
+            z = ZipPackage(f, f.size())
+            for line in z.read(INDEX).decode().splitlines():
+                at, n, kind = line.split()
+                head, http, payload = parse_record(z.read(DATA, int(at), int(n)))
+                digest = head["warc-payload-digest"].removeprefix("sha1:")
+                full = int(re.search(rb"(?im)^Content-Length: (\d+)", http)[1])
+                if kind != head["warc-type"] or (kind == "response" and (full != len(payload) or base32_sha1(payload) != digest)) or (kind == "revisit" and payload):
+                    raise ValueError(f"damaged record at {at} in {path}")
+                page = head["warc-record-id"][len("<urn:page:") : -1]
+                refers = head["warc-refers-to"][len("<urn:page:") : -1] if kind == "revisit" else None
+                yield page or None, head.get("warc-target-uri"), full, digest, kind, refers, path, int(at), int(n), payload if payloads and kind == "response" else None
 
-    def make():
-        def step(batch):
-            fs, _ = pafs.FileSystem.from_uri(folder)
-            out = {k: [] for k in columns}
+    def run(batches):
+        fs, _ = file_system(folder)
+        for batch in batches:
             for path in batch.column(0).to_pylist():
-                with fs.open_input_file(path) as f:
-                    z = ZipPackage(f, f.size())
-                    for line in z.read(INDEX).decode().splitlines():
-                        at, n, kind = line.split()
-                        fields, http, payload = parse_record(z.read(DATA, int(at), int(n)))
-                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                        full = int(re.search(rb"(?im)^Content-Length: (\d+)", http)[1])
-                        if kind != fields["warc-type"] or (kind == "response" and (full != len(payload) or base32_sha1(payload) != digest)) or (kind == "revisit" and payload):
-                            raise ValueError(f"damaged record at {at} in {path}")
-                        page = fields["warc-record-id"][len("<urn:page:") : -1]
-                        row = (page or None, fields.get("warc-target-uri"), full, digest, kind, fields["warc-refers-to"][len("<urn:page:") : -1] if kind == "revisit" else None, payload if kind == "response" else None, path, int(at), int(n))
-                        for k, v in zip(columns, row, strict=True):
-                            out[k].append(v)
-            return out
-
-        return step
-
-    return mapped(manifest.select("path"), make, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary, path string, offset long, length long")
+                rows = list(records(fs, path))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        give_back()
+
+    arrow = to_arrow_schema(schema)
+    found = manifest.select("path").mapInArrow(run, schema)
+    return found if payloads else found.select(*names[:-1])
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
@@ -235,9 +255,8 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     copies = written(rows.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "warc-copies")
     marked = rows.join(copies, "_digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("_first")), F.lit(None)).otherwise(F.col("_first")))
     folder = new_path(spark, "warc")
-    folder = folder if re.match(r"[a-z0-9]+:", folder) else f"file://{folder}"
     manifest = written(write_packages(marked, folder), "warc-manifest")
-    spread = manifest.repartition(max(1, manifest.count()), "path")
+    spread = manifest.repartition(max(1, min(manifest.count(), READERS)))
     kind = pages.schema["page_id"].dataType
     return read_packages(spread, folder).select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "url")
 

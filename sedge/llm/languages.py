@@ -8,9 +8,10 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedge.llm.work import mapped, table
+from sedge.llm.work import fields, mapped, numbered, table
 
 #: ISO 639-1 codes by branch. A code not listed is of the family "other".
 FAMILIES = {
@@ -126,14 +127,19 @@ def _remainder(k: int):
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on a bounded sample of labelled documents outside the held-out fold: of each language those with the
-    least hashes of doc_id, about ``per_language`` and never over twice that in all. None if there are none."""
+    """Fit on a bounded sample of labelled documents outside the held-out fold: of each language the
+    ``per_language`` texts of least hash of doc_id and text. None if there are none.
+
+    Hashes well above the bound are left out before texts move; the bound itself is exact, and equal texts
+    count once, so neither a doc_id of very many rows nor the order of tasks changes the model.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").filter(_remainder(5) != 0)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2 * per_language / n))]), F.col("lang"))
+    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text")).filter(F.pmod("_h", F.lit(1 << 30)) / float(1 << 30) < share)
+    rows = rows.groupBy("lang", "text").agg(F.min(F.pmod("_h", F.lit(1 << 30))).alias("_h")).withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "text")))
 
     def make():
         def step(batch):
@@ -142,12 +148,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
         return step
 
-    got = mapped(rows.filter(unit < share).select("text", "lang"), make, "lang string, x binary").limit(2 * per_language * len(counts)).collect()
+    got = mapped(rows.filter(F.col("_n") <= per_language).select("text", "lang"), make, fields(lang="string", x="binary")).collect()
     got.sort(key=lambda r: (r["lang"], r["x"]))
     return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["lang"] for r in got]) if got else None
 
 
-def identify(docs: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter (or nothing was learned), else
@@ -166,8 +172,7 @@ def identify(docs: DataFrame, model: Model | None, keep_text: bool = False) -> D
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, f"doc_id {kind}, lang_pred string, score double")
+    rows = mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, fields(doc_id=docs.schema["doc_id"].dataType, lang_pred="string", score="double"))
     return rows.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
@@ -188,13 +193,14 @@ def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
             if not told:
                 return None
             part = batch.take(np.array(list(told)))
-            out = {n: part.column(i) for i, n in enumerate(names)}
-            out["lang"] = [n if g is None else g for g, n in zip(part.column(lang).to_pylist(), told.values(), strict=True)]
+            out = {f"c{i}": part.column(i) for i in range(len(names))}
+            out[f"c{lang}"] = [n if g is None else g for g, n in zip(part.column(lang).to_pylist(), told.values(), strict=True)]
             return out
 
         return step
 
-    return mapped(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    rows = numbered(docs)
+    return mapped(rows, make, rows.schema).toDF(*names)
 
 
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

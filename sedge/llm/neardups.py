@@ -9,16 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from sedge.llm.work import full_text, mapped, numbered, table, written
+from sedge.llm.work import discard, fields, full_text, mapped, numbered, settled, table, written
 
 #: Words of a shingle, least similarity of a link, bands and registers of a band. Two texts at the least
 #: similarity share no band with probability (1 - 0.8**4)**20, under 3 in 100,000.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 4
-#: A pair is verified if so many standard deviations below the least similarity, or more, of its registers agree.
-#: A pair of the least similarity falls under it with probability about 3 in a million.
-SLACK = 4.5
-
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -82,9 +79,9 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, same (digest of the text), n (distinct shingles), bands (keys; none for a text without words),
-    marks (a byte of each register, eight to a long). Every shingle weighs 1, however often it occurs: a link is
-    defined by the Jaccard similarity of the sets, so bands and registers have to follow the same measure."""
+    """doc_id, same (digest of the text), n (distinct shingles), bands (keys; none for a text without words).
+    Every shingle weighs 1, however often it occurs: a link is defined by the Jaccard similarity of the sets, so
+    the bands have to follow the same measure."""
 
     def make():
         def step(batch):
@@ -93,45 +90,27 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             some = [i for i, s in enumerate(sets) if s[0].size]
             registers = prob_minhash([sets[i] for i in some], bands * rows)
             keys = band_keys(registers, bands, rows)
-            bytes_of = np.zeros((len(some), -(-bands * rows // 8) * 8), np.uint8)
-            bytes_of[:, : bands * rows] = registers >> np.uint64(56)
-            lists, marks = [[]] * len(texts), [[]] * len(texts)
-            for i, row, mark in zip(some, keys.tolist(), bytes_of.view(np.int64).tolist(), strict=True):
-                lists[i], marks[i] = row, mark
-            return {"doc_id": batch.column(0), "same": pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in texts], pa.binary()), "n": [s[0].size for s in sets], "bands": lists, "marks": marks}
+            lists = [[]] * len(texts)
+            for i, row in zip(some, keys.tolist(), strict=True):
+                lists[i] = row
+            return {"doc_id": batch.column(0), "same": pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in texts], pa.binary()), "n": [s[0].size for s in sets], "bands": lists}
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", full_text().cast("binary").alias("text")), make, f"doc_id {kind}, same binary, n int, bands array<long>, marks array<long>")
-
-
-def registers_allow(x: list[str], y: list[str], similar: float, registers: int) -> Column:
-    """Whether so many registers of two texts agree that they may be linked. The bytes of two longs that differ
-    are those whose bits, folded into the lowest, leave a one in their exclusive or."""
-
-    def differing(x: str, y: str) -> Column:
-        bits = F.col(x).bitwiseXOR(F.col(y))
-        for k in (4, 2, 1):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, k))
-        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-
-    most = registers * (1 - similar) + SLACK * (registers * similar * (1 - similar)) ** 0.5
-    return sum((differing(a, b) for a, b in zip(x, y, strict=True)), F.lit(0)) <= F.lit(int(most))
+    return mapped(docs.select("doc_id", full_text().cast("binary").alias("text")), make, fields(doc_id=docs.schema["doc_id"].dataType, same="binary", n="int", bands="array<long>"))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """id and its sorted shingle hashes (four bytes each) for the documents whose doc_id is in ``wanted`` (id)."""
+    """id and its sorted shingle hashes (eight bytes each) for the documents whose doc_id is in ``wanted`` (id)."""
 
     def make():
         def step(batch):
-            return {"id": batch.column(0), "words": pa.array([np.unique((shingles(x, k)[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()], pa.binary())}
+            return {"id": batch.column(0), "words": pa.array([shingles(x, k)[0].tobytes() for x in batch.column(1).to_pylist()], pa.binary())}
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", full_text().cast("binary").alias("text")).join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
-    return mapped(rows, make, f"id {kind}, words binary")
+    return mapped(rows, make, fields(id=docs.schema["doc_id"].dataType, words="binary"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,15 +118,15 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def make():
         def step(batch):
-            x, y = ([np.frombuffer(w, np.uint32) for w in batch.column(k).to_pylist()] for k in (2, 3))
+            x, y = ([np.frombuffer(w, np.uint64) for w in batch.column(k).to_pylist()] for k in (2, 3))
             both = [np.intersect1d(p, q, assume_unique=True).size for p, q in zip(x, y, strict=True)]
             return {"a": batch.column(0), "b": batch.column(1), "both": both, "na": [p.size for p in x], "nb": [q.size for q in y]}
 
         return step
 
     left, right = sets.select(F.col("id").alias("a"), F.col("words").alias("x")), sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    kind = sets.schema["id"].dataType.simpleString()
-    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), make, f"a {kind}, b {kind}, both int, na int, nb int")
+    kind = sets.schema["id"].dataType
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), make, fields(a=kind, b=kind, both="int", na="int", nb="int"))
 
 
 def linked(pairs: DataFrame, similar: float) -> DataFrame:
@@ -160,12 +139,12 @@ def alone_counts(sets: DataFrame) -> DataFrame:
 
     def make():
         def step(batch):
-            parts = [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
+            parts = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             return {"id": batch.column(0).take(pa.array(np.repeat(np.arange(len(parts)), [x.size for x in parts]))), "word": np.concatenate(parts)}
 
         return step
 
-    words = mapped(sets, make, f"id {sets.schema['id'].dataType.simpleString()}, word int")
+    words = mapped(sets, make, fields(id=sets.schema["id"].dataType, word="long"))
     return words.groupBy("word").agg(F.min("id").alias("id"), F.count("*").alias("times")).filter("times = 1").groupBy("id").agg(F.count("*").alias("alone"))
 
 
@@ -173,18 +152,20 @@ def components(edges: DataFrame) -> DataFrame:
     """id and ``label``, the least id of its component, for every node of ``edges`` (a, b).
 
     Each round a node takes the least label next to it and then that label's label; the rounds end when none
-    changes. Rounds are written, and what is kept of a round is one row a node.
+    changes. Rounds are written, and what is kept is the last round, one row a node.
     """
     both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_b")).select("id", F.least("id", "_b").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "_near").alias("_new"))
         up = labels.select(F.col("id").alias("_new"), F.col("label").alias("_up"))
         new = written(step.join(up, "_new", "left").select("id", F.col("label").alias("_old"), F.least("_new", "_up").alias("label")), "labels")
-        labels = new.select("id", "label")
+        discard(labels)
+        labels = new
         if new.filter("label <> _old").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("id", "label")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -192,9 +173,29 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, b
 
     A link joins two texts whose sets of ``k``-word shingles have a Jaccard similarity of ``similar`` or more;
     classes are the components of the links. Equal texts are one class throughout; a null text is empty, and
-    a text without words is like its equals only. Fewer than ``k`` words are one shingle. Rows of one doc_id
-    are one document; a null doc_id stands alone (class_id null, kept). An empty table gives no rows. Only
-    doc_id and text are read.
+    a text without words is like its equals only. Fewer than ``k`` words are one shingle. Equal rows are one
+    document; different texts of one doc_id are documents of their own, ordered by doc_id and then by the SHA-256 of
+    the text. A null doc_id stands alone (class_id null, kept). An empty table gives no rows. Only doc_id and
+    text are read.
+    """
+    own = own_id(docs, "doc_id", "text")
+    named = docs.select("doc_id", own.alias("own"), full_text().alias("text"))
+    found = settled("near-duplicates", lambda: classes(named.select(F.col("own").alias("doc_id"), "text"), k, similar, bands, rows))
+    out = named.select("doc_id", "own").join(found.withColumnRenamed("doc_id", "_own"), F.col("own") == F.col("_own"), "left")
+    first = F.col("class_id.id") if isinstance(found.schema["class_id"].dataType, StructType) else F.col("class_id")
+    return out.select("doc_id", first.alias("class_id"), F.coalesce(F.col("own") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def own_id(docs: DataFrame, key: str, text: str) -> Column:
+    """What tells documents apart: the doc_id, or (id, digest of the text) where a doc_id repeats."""
+    known = F.col(key).isNotNull()
+    if docs.filter(known).groupBy(key).count().filter("count > 1").isEmpty():
+        return F.col(key)
+    return F.when(known, F.struct(F.col(key).alias("id"), F.sha2(full_text(text).cast("binary"), 256).alias("digest")))
+
+
+def classes(docs: DataFrame, k: int, similar: float, bands: int, rows: int) -> DataFrame:
+    """doc_id and class_id of every document of known id.
 
     Equal texts count once, by their least id. Texts that share a band are compared in two steps. First each
     with the least id of the band's bucket: copies of one text thus link up in as many comparisons as they are.
@@ -202,40 +203,34 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR, b
     of other components. Every pair that shares a band is so compared or already in one class.
     """
     sk = written(sketches(docs, k, bands, rows).filter("doc_id IS NOT NULL"), "sketches")
-    same = written(sk.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "bands", "marks"), "doc_id").alias("of")).select("same", "id", "of.*"), "distinct-texts")
-    longs = range(-(-bands * rows // 8))
-    marks = [f"m{i}" for i in longs]
+    same = written(sk.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "bands"), "doc_id").alias("of")).select("same", "id", "of.*"), "distinct-texts")
     # Nothing but ids goes along until the buckets of one text, which are nearly all, are gone. What is joined back
     # is written first: a join of two shuffles splits a hot key, one of a shuffle and an aggregate can't.
     every = same.select("id", F.explode("bands").alias("bucket"))
     shared = written(every.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size"), "shared-buckets")
-    marked = same.select("id", *[F.get("marks", F.lit(i)).alias(m) for i, m in zip(longs, marks, strict=True)]).dropDuplicates(["id"])
-    buckets = written(every.join(shared.hint("merge"), "bucket").join(marked, "id"), "buckets")
+    buckets = written(every.join(shared, "bucket"), "buckets")
     sets = written(shingle_sets(docs, buckets.select("id").distinct(), k).dropDuplicates(["id"]), "shingle-sets")
     star = written(measured(buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets), "star")
     first = components(linked(star, similar))
     inner = star.select(F.col("a").alias("id"), F.col("b").alias("hub"), "both", F.col("na").alias("n"))
     placed = buckets.join(first, "id", "left").join(alone_counts(sets), "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("alone", F.coalesce("alone", F.lit(0)))
-    pairs = written(open_pairs(placed.join(inner, ["id", "hub"], "left"), marks, similar, bands * rows), "pairs")
+    pairs = written(open_pairs(placed.join(inner, ["id", "hub"], "left"), similar), "pairs")
     more = linked(measured(pairs, sets), similar).join(first.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a", "left").join(first.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b", "left")
     second = components(more.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     label = first.select("id", F.col("label").alias("_first"))
     last = second.select(F.col("id").alias("_mid"), F.col("label").alias("_second"))
-    classes = same.select("same", "id").join(label, "id", "left").withColumn("_mid", F.coalesce("_first", "id")).join(last, "_mid", "left").select("same", F.coalesce("_second", "_mid").alias("class_id"))
-    found = sk.select("doc_id", "same").join(written(classes, "classes"), "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    out = docs.select("doc_id").join(found, "doc_id", "left")
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    found = same.select("same", "id").join(label, "id", "left").withColumn("_mid", F.coalesce("_first", "id")).join(last, "_mid", "left").select("same", F.coalesce("_second", "_mid").alias("class_id"))
+    return sk.select("doc_id", "same").join(written(found, "classes"), "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
-def open_pairs(placed: DataFrame, marks: list[str], similar: float, registers: int) -> DataFrame:
+def open_pairs(placed: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket, other than those with its hub.
 
     In a bucket all but the largest component are set against the rest, and the join itself drops pairs that
     can't be linked. Of a text with n shingles, ``both`` are shared with the bucket's hub and ``alone`` occur in
     no other text at hand. Two texts share at most the lesser ``both`` of the hub's shingles, and of others at
     most the lesser n - both - alone; where that is too little for a link they needn't be compared. So the many
-    variants of one text that are too far from it for a link aren't compared among each other. Where it is
-    not, the registers decide whether it is worth the while.
+    variants of one text that are too far from it for a link aren't compared among each other.
     """
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("_members"))
     by = W.partitionBy("bucket")
@@ -244,37 +239,37 @@ def open_pairs(placed: DataFrame, marks: list[str], similar: float, registers: i
     rows = rows.withColumn("other", F.col("n") - F.col("both") - F.col("alone")).join(parts.select("bucket", "label", "_rank"), ["bucket", "label"])
 
     def side(x: str) -> DataFrame:
-        return rows.select(*[F.col(c).alias(x + c) for c in ("bucket", "id", "n", "both", "other", "_rank", *marks)])
+        return rows.select(*[F.col(c).alias(x + c) for c in ("bucket", "id", "n", "both", "other", "_rank")])
 
     most = F.least("aboth", "bboth") + F.least("aother", "bother")
     possible = most >= F.lit(similar) * (F.col("an") + F.col("bn") - most)
-    likely = registers_allow([f"a{m}" for m in marks], [f"b{m}" for m in marks], similar, registers)
-    joined = side("a").filter("a_rank > 1").join(side("b"), (F.col("abucket") == F.col("bbucket")) & (F.col("b_rank") < F.col("a_rank")) & possible & likely)
+    joined = side("a").filter("a_rank > 1").join(side("b"), (F.col("abucket") == F.col("bbucket")) & (F.col("b_rank") < F.col("a_rank")) & possible)
     return joined.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one of least doc_id; its columns unchanged.
 
-    Where a doc_id repeats, its different texts are documents of their own, ordered by doc_id and then by the
-    SHA-256 of the text: each stays or goes as its own text is judged. Of rows of one doc_id and one text (null
-    is empty) one stays, that of the least hash of all columns but maps.
+    Where a doc_id repeats, its different texts are documents of their own (see ``near_duplicates``): each stays or
+    goes as its own text is judged. Of rows of one doc_id and one text (null is empty) one stays, that of the
+    least hash of all columns but maps.
     """
     rows, key, text = numbered(docs), f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
-    if not _repeated(docs):
-        gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-        return rows.join(gone, F.col(key) == F.col("doc_id"), "left_anti").toDF(*docs.columns)
-    known = F.col(key).isNotNull()
-    digest = F.when(known, F.sha2(full_text(text).cast("binary"), 256))
-    named = rows.withColumn("own", F.when(known, F.struct(F.col(key).alias("id"), digest.alias("digest"))))
-    gone = near_duplicates(named.select(F.col("own").alias("doc_id"), F.col(text).alias("text"))).filter("NOT kept").select("doc_id").distinct()
-    kept = named.join(gone, F.col("own") == F.col("doc_id"), "left_anti").withColumn("again", F.when(~known, F.monotonically_increasing_id()))
-    order = F.xxhash64(*[f.name for f in rows.schema if "map<" not in f.dataType.simpleString()])
+    own = own_id(rows, key, text)
+    named = rows.withColumn("own", own)
+    found = settled("near-duplicates", lambda: classes(named.select(F.col("own").alias("doc_id"), F.col(text).alias("text")), WORDS, SIMILAR, BANDS, ROWS))
+    gone = found.filter("doc_id <> class_id").select("doc_id")
+    kept = named.join(gone, F.col("own") == F.col("doc_id"), "left_anti")
+    if not isinstance(found.schema["doc_id"].dataType, StructType):
+        return kept.select(*rows.columns).toDF(*docs.columns)
+    kept = kept.withColumn("again", F.when(F.col("own").isNull(), F.monotonically_increasing_id()))
+    order = F.xxhash64(*[f.name for f in rows.schema if not _has_map(f.dataType)])
     return kept.groupBy("own", "again").agg(F.min_by(F.struct(*rows.columns), order).alias("row")).select("row.*").toDF(*docs.columns)
 
 
-def _repeated(docs: DataFrame) -> bool:
-    return not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty()
+def _has_map(kind: DataType) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return isinstance(kind, MapType) or any(map(_has_map, inner))
 
 
 def op9_neardups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.work import kept_in_process, mapped, table
+from sedge.llm.work import fields, kept_in_process, mapped, table
 
 SPACE = "▁"
 #: Symbols up to which the agenda is a list, and entries remembered at a time.
-SHORT, MOST = 48, 120_000
+SHORT, MOST = 48, 300_000
 #: Ways to cut a text where no merge can cross, finest first; a model takes the first under which every piece is one part.
 CUTS = (rf"{SPACE}*(?:[^\W\d_¹²³]+|(?:[^\w{SPACE}]+|[\d_¹²³]+)+)|{SPACE}+", rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", r"(?s:.+)")
 
@@ -57,10 +57,6 @@ class MergeCodec:
         self.decimal = [str(i) for i in range(n)]
         self.cut = next(c for c in map(re.compile, CUTS) if all(c.fullmatch(p) and c.match(p).end() == len(p) and len(c.findall(p)) == 1 for p in self.id_of))
         self.known, self.past = _Parts(self.recall), {}
-        #: A character of no piece: what follows it is encoded as if it stood alone.
-        self.apart = next(x for x in "\n\t\x1f\x00" if not any(x in p for p in self.id_of))
-        self.lead = len(lib.encode(self.apart))
-        self.fresh: dict[str, tuple[int, ...]] = {}
 
     def merge(self, part: str) -> tuple[int, ...]:
         """Ids of one part: the agenda holds adjacent pairs that form a piece, best score first, leftmost on a
@@ -122,18 +118,17 @@ class MergeCodec:
 
     def recall(self, part: str) -> tuple[int, ...]:
         if (ids := dict.get(self.past, part)) is None:
-            self.fresh[part] = ids = self.merge(part)
+            ids = self.merge(part)
         return ids
 
-    def check(self) -> None:
-        """Hold the parts merged since the last call against the library, as one batch; no merge crosses a part,
-        so their ids in a row are those of the text."""
-        parts, self.fresh = self.fresh, {}
-        plain = [x.replace(SPACE, " ") for x in parts]
-        found = self.library.encode([x[1:] if x[0] == " " and len(x) > 1 else self.apart + x for x in plain], num_threads=1)
-        for part, text, own, ids in zip(parts, plain, parts.values(), found, strict=True):
-            if own != tuple(ids[0 if text[0] == " " and len(text) > 1 else self.lead :]):
-                raise ValueError(f"differs from the sentencepiece library: {part[:80]!r}")
+    def check(self, texts: list[str], ids: list[list[int]], decoded: list[bytes]) -> None:
+        """Hold whole encodings and decoded texts of a batch against the library's."""
+        for text, own, theirs in zip(texts, ids, self.library.encode(texts, num_threads=1), strict=True):
+            if own != theirs:
+                raise ValueError(f"encodes other than the sentencepiece library: {text[:80]!r}")
+        for own, theirs in zip(decoded, self.library.decode(ids, num_threads=1), strict=True):
+            if own != theirs.encode():
+                raise ValueError(f"decodes other than the sentencepiece library: {own[:80]!r}")
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 bytes of the text; the space of the dummy prefix goes, bytes that form no character become U+FFFD."""
@@ -150,8 +145,8 @@ def encode_texts(docs: DataFrame, model_path: str, check: bool = True, keep_ids:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids.
 
     No begin or end ids, no sampling. A null text is empty and has no ids. ``check`` holds every Arrow batch
-    against the library, the parts it merged and the decoded texts, and fails on a difference, so a result is
-    never silently other than the library's. Repeated rows give repeated rows, an empty table none. The model file is read on
+    against the library, whole encodings and decoded texts, and fails on a difference, so a result is never
+    silently other than the library's. Repeated rows give repeated rows, an empty table none. The model file is read on
     the driver and travels with the tasks.
     """
     with open(model_path, "rb") as f:
@@ -166,12 +161,8 @@ def encode_texts(docs: DataFrame, model_path: str, check: bool = True, keep_ids:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             ids = [codec.encode(x) for x in texts]
             decoded = [codec.decode(x) for x in ids]
-            if check:
-                codec.check()
-                for own, back in zip(ids, decoded, strict=True):
-                    if codec.library.decode(own).encode() != back:
-                        raise ValueError(f"decodes other than the sentencepiece library: {back[:80]!r}")
-            codec.fresh.clear()
+            if check and texts:
+                codec.check(texts, ids, decoded)
             number = codec.decimal.__getitem__
             return {
                 "doc_id": batch.column(0),
@@ -183,8 +174,7 @@ def encode_texts(docs: DataFrame, model_path: str, check: bool = True, keep_ids:
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    rows = mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, fields(doc_id=docs.schema["doc_id"].dataType, n_tokens="long", ids_sha256="string", decoded_sha256="string", ids="array<int>"))
     return rows if keep_ids else rows.drop("ids")
 
 

@@ -15,27 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.work import give_back, in_pieces, mapped, table
+from sedge.llm.work import fields, give_back, in_pieces, mapped, table
 
 #: Rows and columns of the word table, neighbours taken on either side, nonzero entries of a random vector.
-BUCKETS, DIMS, NEAR, ENTRIES = 8192, 32, 2, 4
+BUCKETS, DIMS, NEAR, ENTRIES = 16384, 48, 2, 4
 #: Labelled documents that are fit on, at most; hidden units; passes.
 SAMPLE, HIDDEN, EPOCHS = 8000, 24, 60
-#: Words turned into vectors at a time.
-CHUNK = 100_000
 
 _RUN = re.compile(rb"(.)\1+")
 _SHAPE = bytes(65 if 65 <= x <= 90 else 97 if 97 <= x <= 122 or x >= 128 else 48 if 48 <= x <= 57 else x for x in range(256))
 _EXTRA = 4
 
 
-def random_vectors() -> np.ndarray:
-    """The random vector of each bucket: ``ENTRIES`` entries of +1 or -1. The last row, of no word, is zero."""
+def random_entries() -> tuple[np.ndarray, np.ndarray]:
+    """The random vector of each bucket as its ``ENTRIES`` columns and their signs. The last row, of no word, is zero."""
     rng = np.random.default_rng(20)
-    out = np.zeros((BUCKETS + 1, DIMS), np.float32)
-    for _ in range(ENTRIES):
-        out[np.arange(BUCKETS), rng.integers(0, DIMS, BUCKETS)] += rng.choice(np.array([-1, 1], np.float32), BUCKETS)
-    return out
+    columns, signs = rng.integers(0, DIMS, (BUCKETS + 1, ENTRIES)), rng.choice(np.array([-1, 1]), (BUCKETS + 1, ENTRIES))
+    signs[BUCKETS] = 0
+    return columns, signs
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,64 +61,64 @@ def _spaced(row: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def context_sums(texts: list[bytes], entries: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each bucket the sum of the random vectors of the words around its words: a neighbouring pair counts both ways."""
+    columns, signs = entries
+    total = np.zeros((BUCKETS + 1) * DIMS, np.int64)
+    *rows, sizes = buckets(texts)
+    for row in rows:
+        row = _spaced(row, sizes).astype(np.int64)
+        for k in range(1, NEAR + 1):
+            pairs, times = np.unique(row[:-k] * (BUCKETS + 1) + row[k:], return_counts=True)
+            left, right = np.divmod(pairs, BUCKETS + 1)
+            for mid, near in ((left, right), (right, left)):
+                for e in range(ENTRIES):
+                    np.add.at(total, mid * DIMS + columns[near, e], times * signs[near, e])
+    return total.reshape(-1, DIMS)
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The word table from all documents: each task sums its own, Spark adds the tasks' sums bucket by bucket.
 
     What reaches the driver is the table, ``BUCKETS`` rows of ``DIMS`` integers, for any corpus."""
 
-    def make():
-        base = random_vectors()
-
-        def run(batch):
-            total = np.zeros((BUCKETS + 1, DIMS))
-            *rows, sizes = buckets(batch.column(0).to_pylist())
-            for row in rows:
-                row = _spaced(row, sizes)
-                for a in range(0, row.size, CHUNK):
-                    mid = row[a : a + CHUNK]
-                    near = np.zeros((mid.size, DIMS), np.float32)
-                    for k in (*range(-NEAR, 0), *range(1, NEAR + 1)):
-                        lo, hi = max(0, a + k), min(row.size, a + mid.size + k)
-                        near[lo - a - k : hi - a - k] += base[row[lo:hi]]
-                    for d in range(DIMS):
-                        total[:, d] += np.bincount(mid, near[:, d], BUCKETS + 1)
-            return total
-
-        return run
-
     def summed(batches):
-        run, total = make(), np.zeros((BUCKETS + 1, DIMS))
+        entries, total = random_entries(), np.zeros((BUCKETS + 1, DIMS), np.int64)
         for batch in batches:
             for part in in_pieces(batch):
-                total += run(part)
+                total += context_sums(part.column(0).to_pylist(), entries)
         give_back()
         used = np.flatnonzero(total[:BUCKETS].any(axis=1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(total[used, d].astype(np.int64)) for d in range(DIMS)]], names=["bucket", *[f"v{d}" for d in range(DIMS)]])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(total[used, d]) for d in range(DIMS)]], names=["bucket", *[f"v{d}" for d in range(DIMS)]])
 
     parts = docs.select(F.col("text").cast("string").cast("binary").alias("text")).filter("text IS NOT NULL").mapInArrow(summed, "bucket int, " + ", ".join(f"v{d} long" for d in range(DIMS)))
-    out = np.zeros((BUCKETS + 1, DIMS), np.float32)
+    total = np.zeros((BUCKETS + 1, DIMS))
     for r in parts.groupBy("bucket").agg(*[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)]).collect():
-        v = np.array(r[1:], np.float64)
-        out[r[0]] = v / (np.linalg.norm(v) or 1)
-    return out
+        total[r[0]] = r[1:]
+    return unit_rows(total)
+
+
+def unit_rows(total: np.ndarray) -> np.ndarray:
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """Of each text the mean vectors of its words and of their shapes, how alike its words are, and how many and how various they are."""
     *rows, sizes = buckets(texts)
-    out = np.zeros((len(texts), 2 * DIMS + _EXTRA), np.float32)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros((len(texts), 2 * DIMS + _EXTRA))
     for k, row in enumerate(rows):
-        for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-            if b > a:
-                own = np.bincount(row[a:b], minlength=BUCKETS + 1)
-                used = np.flatnonzero(own)
-                mean = own[used] @ vectors[used] / (b - a)
-                out[i, k * DIMS : (k + 1) * DIMS] = mean
-                out[i, 2 * DIMS + k] = np.linalg.norm(mean)
-                if not k:
-                    out[i, 2 * DIMS + 2 :] = np.log1p(b - a), used.size / min(b - a, BUCKETS * 3 // 4)
-    return out
+        # Distinct words only are looked up, each with how often it occurs.
+        keys, times = np.unique(np.repeat(np.arange(sizes.size), sizes) * BUCKETS + row, return_counts=True)
+        owner, used = np.divmod(keys, BUCKETS)
+        bounds = np.searchsorted(owner, np.arange(sizes.size + 1))
+        for i in np.flatnonzero(sizes):
+            a, b = bounds[i], bounds[i + 1]
+            mean = times[a:b] @ vectors[used[a:b]] / sizes[i]
+            out[i, k * DIMS : (k + 1) * DIMS] = mean
+            out[i, 2 * DIMS + k] = np.linalg.norm(mean)
+            if not k:
+                out[i, 2 * DIMS + 2 :] = np.log1p(sizes[i]), (b - a) / min(sizes[i], BUCKETS * 3 // 4)
+    return out.astype(np.float32)
 
 
 @dataclass
@@ -186,16 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int =
     if not chosen:
         return None
     spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], f"_id {docs.schema['doc_id'].dataType.simpleString()}, quality int"))
+    kind = docs.schema["doc_id"].dataType
+    few = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], fields(_id=kind, quality="int")))
 
     def make():
         def step(batch):
-            return {"quality": batch.column(0), "x": [v.tobytes() for v in pooled(batch.column(1).to_pylist(), vectors)]}
+            return {"id": batch.column(0), "quality": batch.column(1), "x": [v.tobytes() for v in pooled(batch.column(2).to_pylist(), vectors)]}
 
         return step
 
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(few, F.col("doc_id") == F.col("_id")).select("quality", "text")
-    got = sorted((r["x"], r["quality"]) for r in mapped(rows, make, "quality int, x binary").limit(2 * sample).collect())
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(few, F.col("doc_id") == F.col("_id")).select("_id", "quality", "text")
+    # Of a doc_id of several texts one counts, the same on every run, so that the sample stays bounded.
+    got = mapped(rows, make, fields(id=kind, quality="int", x="binary")).groupBy("id").agg(F.min(F.struct("x", "quality")).alias("row")).select("row.*").collect()
+    got = sorted((bytes(r["x"]), r["quality"]) for r in got)
     return fit(np.stack([np.frombuffer(x, np.float32) for x, _ in got]), np.array([q for _, q in got])) if got else None
 
 
@@ -214,8 +214,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network | None) -> DataFram
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = mapped(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")), make, f"doc_id {kind}, score double")
+    rows = mapped(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")), make, fields(doc_id=docs.schema["doc_id"].dataType, score="double"))
     return rows.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

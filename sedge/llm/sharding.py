@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sedge.llm.work import full_text, hash60, table, written
 
-#: Rows a (shard, block) cell should hold; cells, not whole shards, are what one task sorts.
-CELL_ROWS = 2000
+#: Rows a cell should hold, and rows over which it is cut further; cells, not whole shards, are what one task sorts.
+CELL_ROWS, HOT_ROWS = 2000, 100_000
+#: Parts that rows equal in everything are dealt into.
+PARTS = 4096
 
 
 def shard_score(key: Column, shard: int, weight: float = 1.0) -> Column:
@@ -41,30 +43,43 @@ def rendezvous(df: DataFrame, key: Column, weights: Sequence[float], added: floa
     )
 
 
-def with_slots(df: DataFrame, ties: Sequence[str], label: str = "shard") -> DataFrame:
-    """Gapless ``slot`` from 0 within each shard, in order of ``place`` and ``ties``.
+def with_slots(df: DataFrame, ties: Sequence[str], label: str = "shard", hot: int = HOT_ROWS) -> DataFrame:
+    """Gapless ``slot`` from 0 within each shard, in order of ``place`` and ``ties``; ``df`` has no other columns
+    whose order would matter.
 
-    A shard is cut into blocks by the leading bits of ``place``; each (shard, block) cell is numbered on its
-    own and shifted by the rows in earlier blocks. No task sorts a whole shard, however few shards there are.
+    A shard is cut into blocks by the leading bits of ``place``; each cell is numbered on its own and shifted by
+    the rows of the cells before it. A cell of over ``hot`` rows, as where one key has very many, is cut again:
+    by place, then by each of the ties, and rows that are equal in all of these by a part that was written with
+    them. So no task sorts a whole shard or all rows of a key.
     """
-    df = written(df, label)
+    df = written(df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), label)
     rows, shards = df.count(), df.agg(F.max("shard")).first()[0]
     blocks = 1
     while blocks * CELL_ROWS * ((shards or 0) + 1) < rows:
         blocks *= 2
-    df = df.withColumn("_block", F.shiftright("place", 60 - (blocks.bit_length() - 1)).cast("int") if blocks > 1 else F.lit(0))
-    before = (
-        df.groupBy("shard", "_block").count()
-        .withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .select(F.col("shard").alias("_s"), F.col("_block").alias("_b"), "_before")
+    df = df.withColumn("_k0", F.shiftright("place", 60 - (blocks.bit_length() - 1)).cast("long") if blocks > 1 else F.lit(0).cast("long"))
+    keys = ["_k0"]
+    for column in ["place", *ties, "_part"]:
+        large = written(df.groupBy("shard", *keys).count().filter(F.col("count") > hot), "large-cells")
+        if large.isEmpty():
+            break
+        marks = large.select(F.col("shard").alias("_s"), *[F.col(k).alias(f"{k}_") for k in keys], F.lit(True).alias("_large"))
+        same = F.col("shard") == F.col("_s")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+        key = f"_k{len(keys)}"
+        df = df.join(marks, same, "left").withColumn(key, F.when(F.col("_large"), F.col(column))).drop("_s", "_large", *[f"{k}_" for k in keys])
+        keys.append(key)
+    cells = (
+        df.groupBy("shard", *keys).count()
+        .withColumn("_before", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .select(F.col("shard").alias("_s"), *[F.col(k).alias(f"{k}_") for k in keys], "_before")
     )
-    own = F.row_number().over(W.partitionBy("shard", "_block").orderBy("place", *ties)) - 1
-    return (
-        df.withColumn("_own", own)
-        .join(before, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-        .withColumn("slot", F.col("_own") + F.col("_before"))
-        .drop("_own", "_before", "_s", "_b", "_block")
-    )
+    same = F.col("shard") == F.col("_s")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    own = F.row_number().over(W.partitionBy("shard", *keys).orderBy("place", *ties)) - 1
+    return df.withColumn("_own", own).join(cells, same).withColumn("slot", F.col("_own") + F.col("_before")).drop("_own", "_before", "_s", "_part", *keys, *[f"{k}_" for k in keys])
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None) -> DataFrame:

@@ -5,22 +5,25 @@ least hash among their ``mini``-word parts) follow each other and form a path; e
 minimizers, so equal windows meet under one minimizer wherever they stand. A path is keyed by its minimizer and
 a digest of its words: equal paths compact into the first document that has them, in joins on those keys. A
 minimizer under which different paths meet is a branching place; only there the paths are opened into their
-windows, which meet by digest again. Source coordinates (document, first word) travel along.
+windows, which meet by digest again. Source coordinates (document, first word) travel along, and at the end the
+words of every repeated run are held against those at its source coordinates.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm.work import full_text, mapped, numbered, table, written
+from sedge.llm.work import fields, full_text, mapped, numbered, settled, table, written
 
 SPAN, MINI = 50, 12
+#: Words of a block of source words; parts that the paths of a branching minimizer are dealt into.
+BLOCK, PARTS = 64, 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -57,10 +60,6 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _long(digest: bytes) -> int:
-    return struct.unpack("<q", digest)[0]
-
-
 def word_paths(docs: DataFrame, span: int, mini: int) -> DataFrame:
     """The paths of each text: mini (hash), path (digest of the words), doc_id, at (tag and first word), n (windows)."""
 
@@ -97,8 +96,8 @@ def word_paths(docs: DataFrame, span: int, mini: int) -> DataFrame:
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.filter(F.col("doc_id").isNotNull()), make, f"mini long, path long, doc_id {kind}, at long, n int")
+    kind = docs.schema["doc_id"].dataType
+    return mapped(docs.filter(F.col("doc_id").isNotNull()), make, fields(mini="long", path="long", doc_id=kind, at="long", n="int"))
 
 
 def _windows(texts: DataFrame, span: int) -> DataFrame:
@@ -117,8 +116,7 @@ def _windows(texts: DataFrame, span: int) -> DataFrame:
 
         return step
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return mapped(texts, make, f"window binary, doc_id {kind}, at long")
+    return mapped(texts, make, fields(window="binary", doc_id=texts.schema["doc_id"].dataType, at="long"))
 
 
 def _tag(at: str) -> Column:
@@ -151,8 +149,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, mini: int = MINI, texts: D
     again = firsts.filter("src < hi").select("mini", "path", "src", "src_at")
     equal = shared.join(again, ["mini", "path"]).filter("doc_id > src").select("doc_id", "at", "n", "src", "src_at")
     branching = firsts.groupBy("mini").agg(F.count("*").alias("ways"), F.min("src").alias("lo"), F.max("src").alias("hi")).filter("ways > 1 AND lo < hi").select("mini")
+    # A very common passage has paths without number under one minimizer: they are dealt into parts, and the
+    # minimizers, a few bytes each, are copied to every part.
+    parts = written(branching, "branching").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     # A document may hold a path in several places, and none of them has been held against other paths yet.
-    places = firsts.join(branching, "mini", "left_semi").select("mini", "path", F.col("src").alias("doc_id"))
+    places = firsts.withColumn("part", F.pmod("path", F.lit(PARTS)).cast("int")).join(parts, ["mini", "part"], "left_semi").select("mini", "path", F.col("src").alias("doc_id"))
     opened = shared.join(places, ["mini", "path", "doc_id"], "left_semi").select("doc_id", "at", "n")
     windows = written(_windows(texts.join(_listed(opened), ["doc_id", "tag"]), span), "windows")
     first = written(windows.groupBy("window").agg(F.min("doc_id").alias("src"), F.min_by("at", "doc_id").alias("src_at"), F.max("doc_id").alias("hi")).filter("src < hi").drop("hi"), "first-windows")
@@ -160,6 +161,95 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, mini: int = MINI, texts: D
     return equal.unionByName(single)
 
 
+def runs(spans: DataFrame, span: int) -> DataFrame:
+    """The spans of a document that follow each other in one source, as one: doc_id, tag, at, n (words), src, src_tag,
+    src_at. A document has no more spans than words."""
+    lists = spans.groupBy("doc_id", _tag("at").alias("tag")).agg(F.collect_list(F.struct(_word("at").alias("at"), "n", "src", _tag("src_at").alias("src_tag"), _word("src_at").alias("src_at"))).alias("spans"))
+
+    def make():
+        def step(batch):
+            out = {"row": [], "at": [], "n": [], "src": [], "src_tag": [], "src_at": []}
+            for i, found in enumerate(batch.column(2).to_pylist()):
+                keyed = sorted(((repr(x["src"]), x["src_tag"], x["src_at"] - x["at"], x["at"], x["n"]), k) for k, x in enumerate(found))
+                for _, line in groupby(keyed, key=lambda x: x[0][:3]):
+                    end = -1
+                    for (_, src_tag, shift, at, n), k in line:
+                        if at <= end:
+                            out["n"][-1] = max(end, at + n) - out["at"][-1]
+                        else:
+                            for name, value in zip(out, (i, at, n, found[k]["src"], src_tag, at + shift), strict=True):
+                                out[name].append(value)
+                        end = max(end, at + n)
+            own = pa.array(out.pop("row"), pa.int32())
+            return {"doc_id": batch.column(0).take(own), "tag": batch.column(1).take(own), **out, "n": [n + span - 1 for n in out["n"]]}
+
+        return step
+
+    kind = spans.schema["doc_id"].dataType
+    return mapped(lists, make, fields(doc_id=kind, tag="int", at="int", n="int", src=kind, src_tag="int", src_at="int"))
+
+
+def proofs(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, tag and of each run its source words: a list of (at, n, src_at, block, words).
+
+    Sources are cut into blocks of ``BLOCK`` words and only those asked for are written, each once, however many
+    documents ask; a block is a few hundred bytes, and a popular one is an ordinary skewed key of a join of
+    two written tables.
+    """
+    first, last = (F.expr(x).cast("int") for x in (f"src_at div {BLOCK}", f"(src_at + n - 1) div {BLOCK}"))
+    asked = found.withColumn("block", F.explode(F.sequence(first, last)))
+    wanted = asked.groupBy(F.col("src").alias("doc_id"), F.col("src_tag").alias("tag")).agg(F.collect_set("block").alias("blocks")).hint("shuffle_hash")
+
+    def make():
+        def step(batch):
+            rows, blocks, words = [], [], []
+            for i, (text, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                every = text.split()
+                rows += [i] * len(own)
+                blocks += own
+                words += [b" ".join(every[b * BLOCK : (b + 1) * BLOCK]) for b in own]
+            at = pa.array(rows, pa.int32())
+            return {"src": batch.column(0).take(at), "src_tag": batch.column(1).take(at), "block": blocks, "words": words}
+
+        return step
+
+    kind = texts.schema["doc_id"].dataType
+    cut = mapped(texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "blocks"), make, fields(src=kind, src_tag="int", block="int", words="binary"))
+    held = written(cut.dropDuplicates(["src", "src_tag", "block"]), "source-blocks")
+    joined = asked.join(held, ["src", "src_tag", "block"])
+    return joined.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "src_at", "block", "words")).alias("proofs")).hint("shuffle_hash")
+
+
+def staying(words: list[bytes], proof: list[dict], span: int) -> list[bytes]:
+    """``words`` without those of runs of ``span`` or more that equal the source's words."""
+    stay = np.ones(len(words), bool)
+    for (at, n, src_at), parts in groupby(sorted(proof, key=lambda x: (x["at"], x["n"], x["src_at"], x["block"])), key=lambda x: (x["at"], x["n"], x["src_at"])):
+        source, shift = [], 0
+        for part in parts:
+            shift = shift if source else src_at - part["block"] * BLOCK
+            source += part["words"].split(b" ")
+        own, theirs = words[at : at + n], source[shift : shift + n]
+        if own == theirs:
+            stay[at : at + n] = False
+            continue
+        at_run = at
+        for same, run in groupby(a == b for a, b in zip(own, theirs, strict=False)):
+            length = len(list(run))
+            if same and length >= span:
+                stay[at_run : at_run + length] = False
+            at_run += length
+    return [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+
+
+def repeats(docs: DataFrame, span: int, mini: int) -> DataFrame:
+    """doc_id, tag and proofs of the documents that repeat words of others."""
+    if not 1 <= mini <= span:
+        raise ValueError("mini must be from 1 to span")
+    texts = _texts(docs)
+    found = settled("repeated-runs", lambda: runs(repeated_spans(docs, span, mini, texts), span))
+    return proofs(texts, found)
+
+
 def without_repeats(docs: DataFrame, span: int = SPAN, mini: int = MINI, keep: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with ``keep``, kept (the words kept, as UTF-8).
 
@@ -168,34 +258,25 @@ def without_repeats(docs: DataFrame, span: int = SPAN, mini: int = MINI, keep: b
     words, or of null id, loses none and is no source. Repeated rows of one id are judged alike and never
     against each other; texts may be of any length, tables empty. Only doc_id and text are read.
     """
-    if not 1 <= mini <= span:
-        raise ValueError("mini must be from 1 to span")
-    texts = _texts(docs)
-    spans = _listed(repeated_spans(docs, span, mini, texts))
+    found = repeats(docs, span, mini)
 
     def make():
         def step(batch):
             out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for text, firsts, counts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, proof in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
-                n = len(words)
-                if firsts:
-                    stay = np.ones(n, bool)
-                    for a, c in zip(firsts, counts, strict=True):
-                        stay[a : a + c + span - 1] = False
-                    words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                kept = b" ".join(words)
-                out["n_words"].append(n)
-                out["n_removed"].append(n - len(words))
+                left = staying(words, proof, span) if proof else words
+                kept = b" ".join(left)
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(left))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept if keep else None)
             return {"doc_id": batch.column(0), **out}
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "firsts", "counts")
-    rows = mapped(joined, make, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary")
+    joined = _texts(docs).join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "proofs")
+    rows = mapped(joined, make, fields(doc_id=docs.schema["doc_id"].dataType, n_words="long", n_removed="long", kept_sha256="string", kept="binary"))
     return rows if keep else rows.drop("kept")
 
 
@@ -209,20 +290,19 @@ def cleaned(docs: DataFrame, span: int = SPAN, mini: int = MINI) -> DataFrame:
     at, key = names.index("text"), F.col(f"c{names.index('doc_id')}")
     rows = numbered(docs)
     tagged = rows.withColumn("tag", F.hash(full_text(f"c{at}")))
-    spans = _listed(repeated_spans(docs, span, mini)).withColumnRenamed("tag", "own_tag")
-    joined = tagged.join(spans, (key == F.col("doc_id")) & (F.col("tag") == F.col("own_tag")), "left").select(*rows.columns, "firsts", "counts")
+    found = repeats(docs, span, mini).withColumnRenamed("tag", "own_tag")
+    joined = tagged.join(found, (key == F.col("doc_id")) & (F.col("tag") == F.col("own_tag")), "left").select(*rows.columns, "proofs")
 
     def make():
         def step(batch):
             texts, sizes = batch.column(at).to_pylist(), {}
-            for i, (firsts, counts) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
-                if firsts:
+            for i, proof in enumerate(batch.column(len(names)).to_pylist()):
+                if proof:
                     words = texts[i].encode().split()
-                    stay = np.ones(len(words), bool)
-                    for a, c in zip(firsts, counts, strict=True):
-                        stay[a : a + c + span - 1] = False
-                    texts[i] = b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s).decode()
-                    sizes[i] = len(texts[i])
+                    left = staying(words, proof, span)
+                    if len(left) < len(words):
+                        texts[i] = b" ".join(left).decode()
+                        sizes[i] = len(texts[i])
             out = {f"c{k}": batch.column(k) for k in range(len(names))}
             out[f"c{at}"] = texts
             if "n_chars" in names and sizes:
@@ -232,11 +312,11 @@ def cleaned(docs: DataFrame, span: int = SPAN, mini: int = MINI) -> DataFrame:
 
         return step
 
-    return mapped(joined, make, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)).toDF(*names)
+    return mapped(joined, make, rows.schema).toDF(*names)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents"))
+    return settled("op10-substrings", lambda: without_repeats(table(spark, sf_dir, "documents")))
 
 
 ORACLE = r"""

@@ -1,47 +1,24 @@
-"""Shared working storage and the few helpers that several operators use."""
+"""The few helpers that several operators use; working tables are those of ``sedge.storage``."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-#: A word is a maximal run of anything but the space and the five ASCII controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        current = context._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="sedge-"))
-            current = context._jsc.sc().getCheckpointDir()
-        found = current.get()
-    return found.rstrip("/")
-
+from sedge.storage import discard, new_path, settled, written
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["discard", "new_path", "settled", "written"]
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and a lost
-    executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a maximal run of anything but the space and the five ASCII controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,29 +47,35 @@ def kept_in_process(name: str, make):
     return kept[name]
 
 
-def mapped(df: DataFrame, make, schema: str) -> DataFrame:
+def fields(**kinds: str | DataType) -> StructType:
+    """A schema of types or of their names; types go through as they are, whatever their fields are called."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    return StructType([StructField(k, _parse_datatype_string(v) if isinstance(v, str) else v) for k, v in kinds.items()])
+
+
+def mapped(df: DataFrame, make, schema: StructType) -> DataFrame:
     """``mapInArrow`` for a factory: ``make()`` runs once a task and gives a function from a RecordBatch to
     a dict of columns (or None). Large batches are cut by bytes, so long texts can't pile up in a worker."""
-    kinds = _arrow(schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             for part in in_pieces(batch):
                 if (out := step(part)) is not None:
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k.type) for k, x in ((k, out[k.name]) for k in kinds)], schema=kinds)
+                    yield pa.RecordBatch.from_arrays([typed(out[k.name], k.type) for k in kinds], schema=kinds)
         del step
         give_back()
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch than Spark's 10,000, where nobody has set that: texts are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, "1000")
+def typed(x, kind: pa.DataType) -> pa.Array:
+    x = x if isinstance(x, pa.Array) else pa.array(x, kind)
+    return x if x.type == kind else x.cast(kind)
 
 
 def give_back() -> None:
@@ -112,10 +95,3 @@ def in_pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordB
     half = batch.num_rows // 2
     for part in (batch.slice(0, half), batch.slice(half)):
         yield from in_pieces(part, most)
-
-
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))

@@ -30,7 +30,7 @@ def test_quality_held_out(spark):
 
 
 def test_quality_without_labels(spark, smoke):
-    assert {r.score for r in quality.score(smoke.limit(3), quality.random_vectors(), None).collect()} == {0.5}
+    assert {r.score for r in quality.score(smoke.limit(3), np.zeros((quality.BUCKETS + 1, quality.DIMS)), None).collect()} == {0.5}
 
 
 def test_languages_held_out(spark):
@@ -61,7 +61,12 @@ def test_codec_matches_library(text):
     ids = c.encode(text)
     assert ids == c.library.encode(text)
     assert c.decode(ids).decode() == c.library.decode(ids)
-    c.check()
+    c.check([text], [ids], [c.decode(ids)])
+    if ids:
+        with pytest.raises(ValueError, match="encodes"):
+            c.check([text + "x"], [ids], [c.decode(ids)])
+        with pytest.raises(ValueError, match="decodes"):
+            c.check([text], [ids], [c.decode(ids) + b"x"])
 
 
 def _codec(found=[]):  # noqa: B006
