@@ -198,8 +198,8 @@ def classes(docs: DataFrame, k: int, similar: float, bands: int, rows: int) -> D
     """doc_id and class_id of every document of known id.
 
     Equal texts count once, by their least id. Texts that share a band are compared in two steps. First each
-    with the least id of the band's bucket: copies of one text thus link up in as many comparisons as they are.
-    Then, of a bucket that still holds several components, everything outside its largest component with all
+    with the hub of the band's bucket, the text with the fewest shingles that no other text at hand has: copies of
+    one text thus link up with it, or with the least changed of them, in as many comparisons as they are. Then, of a bucket that still holds several components, everything outside its largest component with all
     of other components. Every pair that shares a band is so compared or already in one class.
     """
     sk = written(sketches(docs, k, bands, rows).filter("doc_id IS NOT NULL"), "sketches")
@@ -207,13 +207,17 @@ def classes(docs: DataFrame, k: int, similar: float, bands: int, rows: int) -> D
     # Nothing but ids goes along until the buckets of one text, which are nearly all, are gone. What is joined back
     # is written first: a join of two shuffles splits a hot key, one of a shuffle and an aggregate can't.
     every = same.select("id", F.explode("bands").alias("bucket"))
-    shared = written(every.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1").drop("size"), "shared-buckets")
-    buckets = written(every.join(shared, "bucket"), "buckets")
-    sets = written(shingle_sets(docs, buckets.select("id").distinct(), k).dropDuplicates(["id"]), "shingle-sets")
+    shared = written(every.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").drop("size"), "shared-buckets")
+    members = written(every.join(shared, "bucket"), "bucket-members")
+    sets = written(shingle_sets(docs, members.select("id").distinct(), k).dropDuplicates(["id"]), "shingle-sets")
+    alone = written(alone_counts(sets), "alone")
+    members = members.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    hubs = written(members.groupBy("bucket").agg(F.min(F.struct("alone", "id"))["id"].alias("hub")), "hubs")
+    buckets = written(members.join(hubs, "bucket"), "buckets")
     star = written(measured(buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets), "star")
     first = components(linked(star, similar))
     inner = star.select(F.col("a").alias("id"), F.col("b").alias("hub"), "both", F.col("na").alias("n"))
-    placed = buckets.join(first, "id", "left").join(alone_counts(sets), "id", "left").withColumn("label", F.coalesce("label", "id")).withColumn("alone", F.coalesce("alone", F.lit(0)))
+    placed = buckets.join(first, "id", "left").withColumn("label", F.coalesce("label", "id"))
     pairs = written(open_pairs(placed.join(inner, ["id", "hub"], "left"), similar), "pairs")
     more = linked(measured(pairs, sets), similar).join(first.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a", "left").join(first.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b", "left")
     second = components(more.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
