@@ -234,20 +234,25 @@ def open_pairs(placed: DataFrame, similar: float) -> DataFrame:
     can't be linked. Of a text with n shingles, ``both`` are shared with the bucket's hub and ``alone`` occur in
     no other text at hand. Two texts share at most the lesser ``both`` of the hub's shingles, and of others at
     most the lesser n - both - alone; where that is too little for a link they needn't be compared. So the many
-    variants of one text that are too far from it for a link aren't compared among each other.
+    variants of one text that are too far from it for a link aren't compared among each other. Two texts of
+    several common buckets are a pair in the first of them only.
     """
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("_members"))
     by = W.partitionBy("bucket")
     parts = parts.withColumn("_parts", F.count("*").over(by)).filter("_parts > 1").withColumn("_rank", F.row_number().over(by.orderBy(F.desc("_members"), "label")))
     rows = placed.filter("id <> hub").filter(F.col("n") - F.col("alone") >= F.lit(similar) * F.col("n"))
     rows = rows.withColumn("other", F.col("n") - F.col("both") - F.col("alone")).join(parts.select("bucket", "label", "_rank"), ["bucket", "label"])
+    open_ids = rows.select("id").distinct()
+    listed = placed.join(open_ids, "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    rows = rows.join(listed, "id")
 
     def side(x: str) -> DataFrame:
-        return rows.select(*[F.col(c).alias(x + c) for c in ("bucket", "id", "n", "both", "other", "_rank")])
+        return rows.select(*[F.col(c).alias(x + c) for c in ("bucket", "id", "n", "both", "other", "_rank", "buckets")])
 
     most = F.least("aboth", "bboth") + F.least("aother", "bother")
     possible = most >= F.lit(similar) * (F.col("an") + F.col("bn") - most)
-    joined = side("a").filter("a_rank > 1").join(side("b"), (F.col("abucket") == F.col("bbucket")) & (F.col("b_rank") < F.col("a_rank")) & possible)
+    once = F.get(F.array_intersect("abuckets", "bbuckets"), F.lit(0)) == F.col("abucket")
+    joined = side("a").filter("a_rank > 1").join(side("b"), (F.col("abucket") == F.col("bbucket")) & (F.col("b_rank") < F.col("a_rank")) & possible & once)
     return joined.select(F.least("aid", "bid").alias("a"), F.greatest("aid", "bid").alias("b")).distinct()
 
 
