@@ -51,11 +51,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a working table and read back."""
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """``df`` written as a working table and read back. ``compression`` is that of Parquet, else the session's."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
