@@ -233,7 +233,7 @@ def text_media(docs: DataFrame, keep: bool = False) -> DataFrame:
     length are whole: the image is 8 pixels wide and as high as it must be. Repeated rows give repeated rows, an
     empty table none. Only doc_id and text are read.
     """
-    return media_tiles(written(stored_media(docs), "media"), keep)
+    return media_tiles(written(stored_media(docs), "media", "zstd"), keep)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
