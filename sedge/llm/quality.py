@@ -74,7 +74,9 @@ def context_sums(texts: list[bytes], entries: tuple[np.ndarray, np.ndarray]) ->
             for mid, near in ((left, right), (right, left)):
                 for e in range(ENTRIES):
                     np.add.at(total, mid * DIMS + columns[near, e], times * signs[near, e])
-    return total.reshape(-1, DIMS)
+    total = total.reshape(-1, DIMS)
+    total[BUCKETS] = 0  # what stands between texts is no word
+    return total
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
