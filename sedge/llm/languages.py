@@ -144,7 +144,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     def make():
         def step(batch):
             pairs = [(t, g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _LETTER.search(t)]
-            return {"lang": [g for _, g in pairs], "x": [v.astype(np.float16).tobytes() for v in features([t for t, _ in pairs])]} if pairs else None
+            blocks = (features([t for t, _ in pairs[a : a + BLOCK]]).astype(np.float16) for a in range(0, len(pairs), BLOCK))
+            return {"lang": [g for _, g in pairs], "x": [v.tobytes() for block in blocks for v in block]} if pairs else None
 
         return step
 
