@@ -2,10 +2,10 @@
 
 A text is cut into tokens, every ``K`` consecutive tokens are a k-mer, and a k-mer's n-th occurrence is an element
 of its own. A run of up to ``TOKEN`` characters between white space is a token; of a longer run, as in scripts without
-spaces, every character is one, so that cuts depend on what is there and not on where the run began. Elements are hashed once and dealt by hash into ``SLOTS * 2`` strata; the least element of each is
-kept. The two kept elements of a slot are put in text order and hashed together, so a slot agrees only if
-both texts select the same elements in the same order: the share of agreeing slots falls with moved as well as with
-changed passages, as the edit distance does.
+spaces, every character is one, so that cuts depend on what is there and not on where the run began. Elements are
+hashed once and dealt by hash into ``SLOTS * 2`` strata; the least element of each is kept. The two kept elements of a
+slot are put in text order and hashed together, so a slot agrees only if both texts select the same elements in the
+same order: the share of agreeing slots falls with moved as well as with changed passages, as the edit distance does.
 """
 
 from __future__ import annotations

@@ -199,8 +199,9 @@ def classes(docs: DataFrame, k: int, similar: float, bands: int, rows: int) -> D
 
     Equal texts count once, by their least id. Texts that share a band are compared in two steps. First each
     with the hub of the band's bucket, the text with the fewest shingles that no other text at hand has: copies of
-    one text thus link up with it, or with the least changed of them, in as many comparisons as they are. Then, of a bucket that still holds several components, everything outside its largest component with all
-    of other components. Every pair that shares a band is so compared or already in one class.
+    one text thus link up with it, or with the least changed of them, in as many comparisons as they are. Then, of
+    a bucket that still holds several components, everything outside its largest component with all of other
+    components. Every pair that shares a band is so compared or already in one class.
     """
     sk = written(sketches(docs, k, bands, rows).filter("doc_id IS NOT NULL"), "sketches")
     same = written(sk.groupBy("same").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("n", "bands"), "doc_id").alias("of")).select("same", "id", "of.*"), "distinct-texts")
