@@ -15,6 +15,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while a working table is written.
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Tables of this process that are still there, oldest first.
 _made: list[str] = []
 _own: list[str] = []
@@ -52,10 +55,20 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
-    """``df`` written as a working table and read back. ``compression`` is that of Parquet, else the session's."""
+    """``df`` written as a working table and read back. ``compression`` is that of Parquet, else the session's.
+
+    While it is written, Arrow batches have ``ARROW_ROWS`` rows at most, less than Spark's 10,000: texts are long, and
+    batches lie outside the heap. A number that somebody has set is left alone, and none is left set."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path, compression=compression)
+    ours = spark.conf.get(_BATCH) == "10000"
+    if ours:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        if ours:
+            spark.conf.unset(_BATCH)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
