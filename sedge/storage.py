@@ -15,9 +15,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch while a working table is written.
-ARROW_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch while a working table is written, and the setting for it with Spark's own value.
+ARROW_BYTES = 2 << 20
+_BATCH, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Tables of this process that are still there, oldest first.
 _made: list[str] = []
 _own: list[str] = []
@@ -57,13 +57,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """``df`` written as a working table and read back. ``compression`` is that of Parquet, else the session's.
 
-    While it is written, Arrow batches have ``ARROW_ROWS`` rows at most, less than Spark's 10,000: texts are long, and
-    batches lie outside the heap. A number that somebody has set is left alone, and none is left set."""
+    While it is written, Arrow batches are cut at ``ARROW_BYTES``, less than Spark's 64 MB: a batch and its copy for
+    Python lie outside the heap. A number that somebody has set is left alone, and none is left set."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    ours = spark.conf.get(_BATCH) == "10000"
+    ours = spark.conf.get(_BATCH) == _UNSET
     if ours:
-        spark.conf.set(_BATCH, str(ARROW_ROWS))
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
     try:
         df.write.parquet(path, compression=compression)
     finally:
@@ -82,9 +82,12 @@ def discard(*tables: DataFrame) -> None:
 
 
 def settled(label: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make()`` returns, written; the working tables it made on the way are removed."""
+    """What ``make()`` returns, written unless it is a table that ``make()`` has written; the working tables it made
+    on the way are removed."""
     before = set(_made)
-    out = written(make(), label)
+    out = make()
+    if getattr(out, "_written_at", None) not in set(_made) - before:
+        out = written(out, label)
     for path in [p for p in _made if p not in before and p != out._written_at]:
         _remove(out.sparkSession, path)
     return out
