@@ -35,7 +35,7 @@ def ranking(k, key):
     return {(str(u), i + 1, str(o)) for u in range(USERS) for i, o in enumerate([x for x in least if x != u][:k])}
 
 
-@pytest.mark.parametrize("name", ["format_lex", "format_numeric", "sink_keys", "sink_trailing_tab", "topk_ties_lex"])
+@pytest.mark.parametrize("name", ["format_lex", "format_numeric", "sink_keys", "sink_trailing_tab", "topk_ties_lex", "topk_ties_numeric"])
 def test_growth(spark, events, met, name):
     lex = name in ("topk_ties_lex", "format_lex", "sink_trailing_tab")
     want = ranking(3, str) if lex else ranking(4, int)
