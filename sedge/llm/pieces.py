@@ -18,6 +18,9 @@ SHORT, MOST = 48, 300_000
 #: Ways to cut a text where no merge can cross, finest first; a model takes the first under which every piece is one part.
 CUTS = (rf"{SPACE}*(?:[^\W\d_¹²³]+|(?:[^\w{SPACE}]+|[\d_¹²³]+)+)|{SPACE}+", rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", r"(?s:.+)")
 
+#: The first of these for texts of ASCII alone, where its classes are letters and all else; it finds the same in half the time.
+ASCII_CUT = rf"{SPACE}*(?:[A-Za-z]+|[^A-Za-z{SPACE}]+)|{SPACE}+"
+
 
 class _Parts(dict):
     """Ids by part; a part met first is recalled, and kept if it is not long."""
@@ -54,8 +57,9 @@ class MergeCodec:
         self.byte_id = {int(names[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
         self.text = [bytes([int(x[3:5], 16)]) if lib.is_byte(i) else b"" if lib.is_control(i) else b" \xe2\x81\x87 " if lib.is_unknown(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
-        self.decimal = [str(i) for i in range(n)]
+        self.decimal = [str(i).encode() for i in range(n)]
         self.cut = next(c for c in map(re.compile, CUTS) if all(c.fullmatch(p) and c.match(p).end() == len(p) and len(c.findall(p)) == 1 for p in self.id_of))
+        self.ascii_cut = re.compile(ASCII_CUT) if self.cut.pattern == CUTS[0] else self.cut
         self.known, self.past = _Parts(self.recall), {}
 
     def merge(self, part: str) -> tuple[int, ...]:
@@ -79,12 +83,12 @@ class MergeCodec:
         agenda = [score(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda and (best := min(agenda)) != none:
             i = agenda.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            symbols[i] = made = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i < len(agenda):
-                agenda[i] = score(symbols[i] + symbols[i + 1], none)
+                agenda[i] = score(made + symbols[i + 1], none)
             if i:
-                agenda[i - 1] = score(symbols[i - 1] + symbols[i], none)
+                agenda[i - 1] = score(symbols[i - 1] + made, none)
         return symbols
 
     def long(self, part: str) -> list[str]:
@@ -114,7 +118,8 @@ class MergeCodec:
             return []
         if len(self.known) > MOST:
             self.past, self.known = self.known, _Parts(self.recall)
-        return list(chain.from_iterable(map(self.known.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE)))))
+        cut = self.ascii_cut if text.isascii() else self.cut
+        return list(chain.from_iterable(map(self.known.__getitem__, cut.findall(SPACE + text.replace(" ", SPACE)))))
 
     def recall(self, part: str) -> tuple[int, ...]:
         if (ids := dict.get(self.past, part)) is None:
@@ -167,7 +172,7 @@ def encode_texts(docs: DataFrame, model_path: str, check: bool = True, keep_ids:
             return {
                 "doc_id": batch.column(0),
                 "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(",".join(map(number, x)).encode()).hexdigest() for x in ids],
+                "ids_sha256": [hashlib.sha256(b",".join(map(number, x))).hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decoded],
                 "ids": ids if keep_ids else [None] * len(ids),
             }
