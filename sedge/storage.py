@@ -15,9 +15,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of an Arrow batch while a working table is written, and the setting for it with Spark's own value.
+#: Bytes of an Arrow batch while a working table is written.
 ARROW_BYTES = 2 << 20
-_BATCH, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Settings while a working table is written, each with Spark's own value and ours.
+_WRITING = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(ARROW_BYTES)),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+}
 #: Tables of this process that are still there, oldest first.
 _made: list[str] = []
 _own: list[str] = []
@@ -58,17 +62,19 @@ def written(df: DataFrame, label: str, compression: str | None = None) -> DataFr
     """``df`` written as a working table and read back. ``compression`` is that of Parquet, else the session's.
 
     While it is written, Arrow batches are cut at ``ARROW_BYTES``, less than Spark's 64 MB: a batch and its copy for
-    Python lie outside the heap. A number that somebody has set is left alone, and none is left set."""
+    Python lie outside the heap. Once it is, the shuffles it came of are removed from the executors' disks; they
+    would stay until the driver happens to collect its garbage. A value that somebody has set is left alone, and none is
+    left set."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    ours = spark.conf.get(_BATCH) == _UNSET
-    if ours:
-        spark.conf.set(_BATCH, str(ARROW_BYTES))
+    ours = [k for k, (unset, _) in _WRITING.items() if spark.conf.get(k, unset) == unset]
+    for k in ours:
+        spark.conf.set(k, _WRITING[k][1])
     try:
         df.write.parquet(path, compression=compression)
     finally:
-        if ours:
-            spark.conf.unset(_BATCH)
+        for k in ours:
+            spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
