@@ -40,13 +40,33 @@ def hash60(key: Column) -> Column:
 
 
 def kept_in_process(name: str, make):
-    """What ``make()`` gave the first time this process asked for ``name``: a Python worker runs many tasks."""
-    kept = sys.modules.setdefault("sedge_kept", ModuleType("sedge_kept")).__dict__
+    """What ``make()`` gave the first time this process asked for ``name``: a Python worker runs many tasks. It stays
+    until the worker starts a task of ``mapped`` that doesn't ask for it."""
+    kept = _kept()
     if name not in kept:
         kept[name] = make()
+    kept["asked"].add(name)
     return kept[name]
 
 
+def _kept() -> dict:
+    return sys.modules.setdefault("sedge_kept", ModuleType("sedge_kept")).__dict__.setdefault("kept", {"asked": set()})
+
+
+def begun(make):
+    """What ``make()`` gives at the start of a task, after which what is kept in this process and it didn't ask for is let
+    go of: a worker of one stage runs the tasks of others too, and shouldn't hold a vocabulary meanwhile."""
+    kept = _kept()
+    kept["asked"].clear()
+    step = make()
+    idle = kept.keys() - kept["asked"] - {"asked"}
+    for name in idle:
+        del kept[name]
+    if idle:
+        give_back()
+    return step
+
+
 def fields(**kinds: str | DataType) -> StructType:
     """A schema of types or of their names; types go through as they are, whatever their fields are called."""
     from pyspark.sql.types import _parse_datatype_string
@@ -62,7 +82,7 @@ def mapped(df: DataFrame, make, schema: StructType) -> DataFrame:
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
+        step = begun(make)
         for batch in batches:
             for part in in_pieces(batch):
                 if (out := step(part)) is not None:
