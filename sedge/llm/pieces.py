@@ -142,6 +142,7 @@ class MergeCodec:
         else:
             self.kinds = kinds(self.cut) if self.kinds is None else self.kinds
             points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            del whole
             kind = self.kinds[points]
         begins = np.ones(len(kind) + 1, bool)
         np.not_equal(kind[1:], kind[:-1], out=begins[1:-1])
@@ -151,9 +152,8 @@ class MergeCodec:
         at = np.flatnonzero(begins)
         first = np.searchsorted(at, np.append(starts, len(kind)))
         if len(kind) < len(data):
-            wide = np.zeros(len(kind) + 1, np.int64)
-            np.cumsum((points > 0x7F).view(np.uint8) + (points > 0x7FF) + (points > 0xFFFF), out=wide[1:])
-            at = at + wide[at]
+            wide = 1 + (points > 0x7F).view(np.uint8) + (points > 0x7FF) + (points > 0xFFFF)
+            at[1:] = np.cumsum(np.add.reduceat(wide, at[:-1], dtype=np.int64))
         return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]), first
 
     def encode(self, text: str) -> list[int]:
